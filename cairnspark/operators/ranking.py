@@ -57,12 +57,6 @@ def endpoint_long(top: DataFrame, bottom: DataFrame, key: str = "endpoint") -> D
     return both.select("group", "rank", key, "count")
 
 
-def _lookup(rows: DataFrame, value: Column) -> Column:
-    """One map (group → value) over a table with one row per group, read as a scalar subquery."""
-    entries = F.collect_list(F.struct(F.col("_group"), value.alias("_value")))
-    return rows.agg(F.map_from_entries(entries).alias("m")).scalar()
-
-
 def extreme_share(
     counts: DataFrame,
     share: float = 0.1,
@@ -77,85 +71,64 @@ def extreme_share(
     ``counts`` has one row per key, or per (``by``, key) where ``by`` has few values, such as a fold.
     No step sorts the keys as a whole or brings them to the driver or one task:
 
-    1. A histogram of the counts gives the cut level and how many keys of that level are still
-       wanted. With N rated rows there are at most sqrt(2 N) different counts.
-    2. The keys of the cut level are divided by sampled keys into about ``slices`` ranges; the
-       sizes of the ranges show which one holds the last wanted key.
+    1. A histogram of the counts shows which levels are taken, and how many keys of the last one.
+    2. The keys of that level are divided by sampled keys into about ``slices`` ranges; the sizes
+       of the ranges show which one holds the last wanted key.
     3. Only that range is sorted, and yields the last wanted key.
 
-    The sample is a hash rule, not random, so every job sees the same ranges. The small results are
-    scalar subqueries, and all steps read one shuffle of ``counts``.
+    The sample is a hash rule, not random, so every step sees the same ranges. All steps read one
+    shuffle of ``counts``. What is broadcast is small by construction: one row per ``by``, or the
+    histogram, which has at most sqrt(2 N) levels for N counted rows.
     """
-    rows = counts.withColumn("_group", F.col(by) if by else F.lit(0))
-    rows = rows.where(F.col("_group").isNotNull())
-    level_order = F.col(count).desc() if largest else F.col(count)
-
-    # 1. cut level per group
-    histogram = rows.groupBy("_group", count).agg(F.count(F.lit(1)).alias("_keys"))
-    upto = Window.partitionBy("_group").orderBy(level_order).rowsBetween(Window.unboundedPreceding, 0)
-    running = histogram.select(
-        "_group",
-        count,
-        "_keys",
-        F.sum("_keys").over(upto).alias("_reached"),
-        F.floor(F.sum("_keys").over(Window.partitionBy("_group")) * F.lit(float(share))).alias("_wanted"),
-    ).where((F.col("_wanted") > 0) & (F.col("_reached") >= F.col("_wanted")))
-    cut_row = running.groupBy("_group").agg(
-        F.min_by(
-            F.struct(
-                F.col(count).alias("level"),
-                (F.col("_wanted") - F.col("_reached") + F.col("_keys")).alias("need"),
-                F.col("_keys").alias("have"),
-            ),
-            "_reached",
-        ).alias("_cut")
+    group = [by] if by else []
+    level = [*group, count]
+    rows = counts.dropna(subset=[*group, key])
+
+    # 1. levels taken
+    most_first = F.col(count).desc() if largest else F.col(count)
+    whole = Window.partitionBy(*group)
+    upto = whole.orderBy(most_first).rowsBetween(Window.unboundedPreceding, 0)
+    levels = (
+        rows.groupBy(*level)
+        .agg(F.count(F.lit(1)).alias("_have"))
+        .withColumn("_wanted", F.floor(F.sum("_have").over(whole) * F.lit(float(share))))
+        .withColumn("_need", F.col("_wanted") - (F.sum("_have").over(upto) - F.col("_have")))
+        .where(F.col("_need") > 0)
+        .select(*level, "_have", "_need")
     )
-    cut = _lookup(cut_row, F.col("_cut"))[F.col("_group")]
-    level, need, have = cut["level"], cut["need"], cut["have"]
-    at_level = rows.where(F.col(count) == level)
-
-    # 2. ranges of the keys at that level
-    stride = F.greatest(F.lit(1), F.ceil(have / F.lit(slices)))
-    sampled = at_level.where(F.pmod(F.xxhash64(key), stride) == 0)
-    bounds = _lookup(
-        sampled.groupBy("_group").agg(F.sort_array(F.collect_set(key)).alias("_bounds")), F.col("_bounds")
+    rows = rows.join(F.broadcast(levels), level)
+    divided = rows.where(F.col("_need") < F.col("_have"))
+
+    # 2. range of the last wanted key
+    stride = F.ceil(F.col("_have") / slices)
+    bounds = (
+        divided.where(F.pmod(F.xxhash64(key), stride) == 0)
+        .groupBy(*level)
+        .agg(F.sort_array(F.collect_set(key)).alias("_bounds"))
     )
-    # The list becomes a column first: a subquery may not stand inside a lambda.
-    sliced = (
-        at_level.withColumn("_bounds", F.coalesce(bounds[F.col("_group")], F.array().cast(_array_of(counts, key))))
-        .withColumn("_slice", F.size(F.filter("_bounds", lambda b: b <= F.col(key))))
-        .drop("_bounds")
+    lower = F.filter("_bounds", lambda bound: bound <= F.col(key))
+    sliced = divided.join(F.broadcast(bounds), level, "left").select(
+        *level, key, "_need", F.coalesce(F.array_size(lower), F.lit(0)).alias("_slice")
     )
-    before = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    slice_row = (
-        sliced.groupBy("_group", "_slice")
-        .agg(F.count(F.lit(1)).alias("_keys"))
-        .withColumn("_reached", F.sum("_keys").over(before))
-        .where(F.col("_reached") >= need)
-        .groupBy("_group")
-        .agg(
-            F.min_by(
-                F.struct(
-                    F.col("_slice").alias("slice"),
-                    (need - F.col("_reached") + F.col("_keys")).alias("need"),
-                ),
-                "_reached",
-            ).alias("_at")
-        )
+    upto = Window.partitionBy(*level).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+    last_range = (
+        sliced.groupBy(*level, "_slice", "_need")
+        .agg(F.count(F.lit(1)).alias("_have"))
+        .withColumn("_nth", F.col("_need") - (F.sum("_have").over(upto) - F.col("_have")))
+        .where((F.col("_nth") > 0) & (F.col("_nth") <= F.col("_have")))
+        .select(*level, "_slice", "_nth")
     )
-    at = _lookup(slice_row, F.col("_at"))[F.col("_group")]
 
     # 3. the last wanted key
-    last_row = (
-        sliced.where(F.col("_slice") == at["slice"])
-        .withColumn("_nth", F.row_number().over(Window.partitionBy("_group", "_slice").orderBy(key)))
-        .where(F.col("_nth") == at["need"])
+    position = F.row_number().over(Window.partitionBy(*level).orderBy(key))
+    last = (
+        sliced.join(F.broadcast(last_range), [*level, "_slice"])
+        .withColumn("_position", position)
+        .where(F.col("_position") == F.col("_nth"))
+        .select(*level, F.col(key).alias("_last"))
+    )
+    return (
+        rows.join(F.broadcast(last), level, "left")
+        .where((F.col("_need") >= F.col("_have")) | (F.col(key) <= F.col("_last")))
+        .select(*counts.columns)
     )
-    last = _lookup(last_row, F.col(key))[F.col("_group")]
-
-    beyond = F.col(count) > level if largest else F.col(count) < level
-    return rows.where(beyond | ((F.col(count) == level) & (F.col(key) <= last))).drop("_group")
-
-
-def _array_of(df: DataFrame, col: str) -> str:
-    return f"array<{df.schema[col].dataType.simpleString()}>"
