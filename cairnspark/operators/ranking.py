@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnspark.sources.tables import materialise
+
 # Groups of keys used to find the cut among keys of one level; also the expected size of the
 # sorted key list that is compared with each of those keys.
 KEY_SLICES = 256
@@ -65,6 +67,7 @@ def extreme_share(
     count: str = "n_ratings",
     by: str | None = None,
     slices: int = KEY_SLICES,
+    stored: bool = False,
 ) -> DataFrame:
     """The floor(``share`` × keys) keys with the most (fewest) counts; equal counts go by key, ascending.
 
@@ -76,10 +79,13 @@ def extreme_share(
        of the ranges show which one holds the last wanted key.
     3. Only that range is sorted, and yields the last wanted key.
 
-    The sample is a hash rule, not random, so every step sees the same ranges. All steps read one
-    shuffle of ``counts``. What is broadcast is small by construction: one row per ``by``, or the
-    histogram, which has at most sqrt(2 N) levels for N counted rows.
+    The sample is a hash rule, not random, so every step sees the same ranges. The steps read
+    ``counts`` several times, so it is written to shared storage first, unless the caller says that
+    it is ``stored`` already. What is broadcast is small by construction: one row per ``by``, or
+    the histogram, which has at most sqrt(2 N) levels for N counted rows.
     """
+    if not stored:
+        counts = materialise(counts, "key-counts")
     group = [by] if by else []
     level = [*group, count]
     rows = counts.dropna(subset=[*group, key])

@@ -15,7 +15,7 @@ from cairnspark.operators.metrics import rmse
 from cairnspark.operators.ranking import extreme_share
 from cairnspark.operators.relational import union_all
 from cairnspark.operators.splits import SEED
-from cairnspark.sources.tables import ensure_checkpoint_dir, fresh_path, write_parquet
+from cairnspark.sources.tables import ensure_checkpoint_dir, fresh_path, materialise, write_parquet
 
 # Two settings that differ: the estimator's defaults, and a smaller model with a stronger penalty.
 VARIANTS = {"default": {"rank": 10, "reg": 0.1}, "compact": {"rank": 5, "reg": 0.2}}
@@ -139,9 +139,10 @@ def training_activity(folded: DataFrame, k: int = 5) -> DataFrame:
 def activity_groups(activity: DataFrame, share: float = 0.1, by: str | None = "fold") -> DataFrame:
     """(by, user_id, grp): the most (``hot``) and the least (``cool``) active users. A user may be in both."""
     keys = [by, "user_id"] if by else ["user_id"]
+    activity = materialise(activity, "user-activity")
     return union_all(
         [
-            extreme_share(activity, share, largest, by=by).select(*keys, F.lit(name).alias("grp"))
+            extreme_share(activity, share, largest, by=by, stored=True).select(*keys, F.lit(name).alias("grp"))
             for name, largest in (("hot", True), ("cool", False))
         ]
     )

@@ -60,7 +60,7 @@ def holdout_fit(spark: SparkSession, sf_dir: str):
 def clusters_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         factors = cross_validation(spark, sf_dir).item_factors
-        return folds.fold_clusters(factors.where("variant = 'default'"), K)
+        return folds.fold_clusters(factors.where("variant = 'default'"), K, parallelism=K)
 
     return once(spark, sf_dir, "fold-clusters", build)
 
