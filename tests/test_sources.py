@@ -1,4 +1,6 @@
 import gzip
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,10 +60,14 @@ def test_materialised_table_keeps_schema_and_rows(spark):
     assert stored.dtypes == df.dtypes and sorted(stored.collect()) == sorted(df.collect())
 
 
-def test_shared_folder_comes_from_the_session(spark, tmp_path):
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        spark.conf.set("spark.checkpoint.dir", f"file:{tmp_path}/")
-        assert sources.fresh_path(spark, "x").startswith(f"file:{tmp_path}/x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if old is None else spark.conf.set("spark.checkpoint.dir", old)
+def test_shared_folder_comes_from_the_session():
+    def session(root, master):
+        context = SimpleNamespace(master=master, applicationId=f"app {master}")
+        return SimpleNamespace(conf={"spark.checkpoint.dir": root} if root else {}, sparkContext=context)
+
+    assert sources.fresh_path(session("hdfs://shared/dir/", "yarn"), "x").startswith("hdfs://shared/dir/x-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        sources.fresh_path(session(None, "yarn"), "x")
+    local = session(None, "local[2]")
+    one, two = sources.fresh_path(local, "x"), sources.fresh_path(local, "x")
+    assert one != two and Path(one).parent == Path(two).parent
