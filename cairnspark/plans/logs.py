@@ -7,13 +7,23 @@ from pyspark.sql import functions as F
 
 from cairnspark.functions import clf_time, file_name
 from cairnspark.operators import logs, profile, ranking, traffic
-from cairnspark.plans.registry import query
+from cairnspark.plans.registry import once, query
 from cairnspark.plans.views import MOVIE, log_lines, sql
-from cairnspark.sources import fresh_path, read_log, write_parquet
+from cairnspark.sources import fresh_path, materialise, read_log, write_parquet
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a stored table (event_id, value), as a log is stored text and not derived per query."""
+
+    def build():
+        rows = log_lines(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+        return materialise(rows, "log-lines")
+
+    return once(spark, sf_dir, "log-lines", build)
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.parse_clf(log_lines(spark, sf_dir), keep=["event_id"])
+    return logs.parse_clf(lines(spark, sf_dir), keep=["event_id"])
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +129,7 @@ def parse_clf(spark, sf_dir):
        FROM events""",
 )
 def parse_clf_split(spark, sf_dir):
-    return logs.parse_clf_split(log_lines(spark, sf_dir))
+    return logs.parse_clf_split(lines(spark, sf_dir))
 
 
 @query(
@@ -169,8 +179,8 @@ def fill_content_size(spark, sf_dir):
 @query("filter_null_lines", "SELECT count(*) AS n_lines FROM events WHERE event_id % 500 = 0")
 def filter_null_lines(spark, sf_dir):
     # The broken lines of this log stand for missing ones.
-    lines = log_lines(spark, sf_dir).withColumn("value", F.nullif("value", F.lit("garbage")))
-    return logs.null_lines(lines).agg(F.count(F.lit(1)).alias("n_lines"))
+    holed = lines(spark, sf_dir).withColumn("value", F.nullif("value", F.lit("garbage")))
+    return logs.null_lines(holed).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 @query("filter_bad_rows", "SELECT event_id FROM events WHERE event_id % 500 = 0 OR event_type = 'error'")
@@ -180,12 +190,12 @@ def filter_bad_rows(spark, sf_dir):
 
 @query("filter_no_status", "SELECT event_id, 'garbage' AS value FROM events WHERE event_id % 500 = 0")
 def filter_no_status(spark, sf_dir):
-    return logs.lines_without_status(log_lines(spark, sf_dir))
+    return logs.lines_without_status(lines(spark, sf_dir))
 
 
 @query("reparse_rejects", sql("SELECT * FROM v_parsed WHERE event_id % 500 = 0", "v_parsed"))
 def reparse_rejects(spark, sf_dir):
-    return logs.rejects(log_lines(spark, sf_dir), keep=["event_id"])
+    return logs.rejects(lines(spark, sf_dir), keep=["event_id"])
 
 
 @query(
@@ -199,7 +209,7 @@ def filter_status_present(spark, sf_dir):
 
 @query("filter_no_size", "SELECT event_id FROM events WHERE event_id % 500 = 0 OR event_type = 'error'")
 def filter_no_size(spark, sf_dir):
-    return logs.lines_without_size(log_lines(spark, sf_dir)).select("event_id")
+    return logs.lines_without_size(lines(spark, sf_dir)).select("event_id")
 
 
 @query(
@@ -236,7 +246,7 @@ def filter_endpoint_any_pattern(spark, sf_dir):
 
 @query("agg_shape", "SELECT count(*) AS n_rows, 7 AS n_cols FROM events")
 def agg_shape(spark, sf_dir):
-    return profile.shape(logs.parse_clf(log_lines(spark, sf_dir)))
+    return profile.shape(logs.parse_clf(lines(spark, sf_dir)))
 
 
 @query(
@@ -249,7 +259,7 @@ def agg_shape(spark, sf_dir):
     ),
 )
 def agg_null_profile(spark, sf_dir):
-    return profile.null_profile(logs.parse_clf(log_lines(spark, sf_dir)))
+    return profile.null_profile(logs.parse_clf(lines(spark, sf_dir)))
 
 
 @query("agg_daily_requests", sql("SELECT CAST(date AS VARCHAR) AS date, total_reqs FROM v_daily", "v_daily"))

@@ -27,7 +27,7 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rating in its test fold with a fixed prediction."""
-    return folded(spark, sf_dir).withColumn("prediction", views.fixed_prediction())
+    return stored_folds(spark, sf_dir).withColumn("prediction", views.fixed_prediction())
 
 
 def stored_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,7 @@ _GROUPS = """
 )
 def join_predictions_to_group(spark, sf_dir):
     pred = predicted(spark, sf_dir)
-    hot = ranking.extreme_share(recommend.training_activity(folded(spark, sf_dir), K), by="fold")
+    hot = ranking.extreme_share(recommend.training_activity(stored_folds(spark, sf_dir), K), by="fold")
     return recommend.semi_to_group(pred, hot, ["fold", "user_id"]).select(
         "user_id", "item_id", "rating", "fold", "prediction"
     )
@@ -282,7 +282,7 @@ def group_rmse(spark, sf_dir):
             pred.withColumn("variant", F.lit("turned")).withColumn("prediction", 5.5 - F.col("prediction")),
         ]
     )
-    activity = recommend.training_activity(folded(spark, sf_dir), K)
+    activity = recommend.training_activity(stored_folds(spark, sf_dir), K)
     return recommend.group_rmse(variants, activity).withColumn("rmse", F.round("rmse", 6))
 
 

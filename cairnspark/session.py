@@ -15,6 +15,7 @@ def build_session(app: str = "cairnspark", cpus: int | None = None) -> SparkSess
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if cpus is not None:
         builder = (
