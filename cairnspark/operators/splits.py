@@ -32,7 +32,11 @@ def hash_sample(
 def holdout(
     df: DataFrame, keys: Sequence[str] | None, test: float = 0.2, resolution: int = 100, seed: int = SEED
 ) -> DataFrame:
-    """Add ``part``: ``test`` for that share of the rows, else ``train``. Without ``keys`` by a seeded random number."""
+    """Add ``part``: ``test`` for that share of the rows, else ``train``.
+
+    Without ``keys`` by a seeded random number; that one depends on the order of the rows, so store
+    the result before using both parts.
+    """
     in_test = F.rand(seed) < test if keys is None else hash_bucket(keys, resolution) < _threshold(test, resolution)
     return df.withColumn("part", F.when(in_test, "test").otherwise("train"))
 

@@ -90,3 +90,17 @@ def test_share_sorts_no_whole_table(spark):
     df = spark.range(5000).select(F.col("id").alias("user_id"), F.lit(1).alias("n_ratings"))
     plan = ranking.extreme_share(df, 0.5)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "rangepartitioning" not in plan
+
+
+def test_share_with_other_partitions_and_without_adaptive_plans(spark):
+    rng = random.Random(10)
+    counts = [(k, rng.choice([1, 1, 1, 2])) for k in range(400)]
+    df = spark.createDataFrame(counts, "user_id int, n_ratings int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = {tuple(r) for r in ranking.extreme_share(df, 0.3, slices=8).collect()}
+        assert got == brute_share(counts, 0.3, True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

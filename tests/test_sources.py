@@ -54,6 +54,24 @@ def test_partitioned_parquet_prunes(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(p" in plan
 
 
+def test_a_hot_partition_value_is_written_by_several_tasks(spark, tmp_path):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "3MB")
+    try:
+        df = spark.range(0, 200000, 1, 8).select(
+            F.sha2(F.col("id").cast("string"), 256).alias("x"),
+            F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("p"),
+        )
+        path = tmp_path / "out"
+        sources.write_parquet(df, str(path), ["p"])
+    finally:
+        spark.conf.set(key, old)
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in path.glob("p=*")}
+    assert len(files) == 50 and files["p=0"] > 1
+    assert sorted(files.values())[25] <= 2
+
+
 def test_materialised_table_keeps_schema_and_rows(spark):
     df = spark.range(10).select("id", (F.col("id") % 2 == 0).cast("int").alias("even"))
     stored = sources.materialise(df, "t", ["even"])
