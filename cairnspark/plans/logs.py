@@ -46,6 +46,15 @@ def _date_as_text(df: DataFrame) -> DataFrame:
     return df.withColumn("date", F.col("date").cast("string"))
 
 
+def _nullable_numbers(df: DataFrame, *columns: str) -> DataFrame:
+    """Numbers with NULLs as double: pandas has no one form for integers with gaps."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
+_PARSED_SQL = """SELECT * REPLACE (CAST(status AS DOUBLE) AS status, CAST(content_size AS DOUBLE) AS content_size)
+                 FROM v_parsed"""
+
+
 # Sources and sinks
 
 
@@ -107,9 +116,9 @@ def endpoint_extremes_long(spark, sf_dir):
 # Projections and parsing
 
 
-@query("parse_clf", sql("SELECT * FROM v_parsed", "v_parsed"))
+@query("parse_clf", sql(_PARSED_SQL, "v_parsed"))
 def parse_clf(spark, sf_dir):
-    return parsed(spark, sf_dir)
+    return _nullable_numbers(parsed(spark, sf_dir), "status", "content_size")
 
 
 @query(
@@ -123,13 +132,14 @@ def parse_clf(spark, sf_dir):
               WHEN event_type = 'view' THEN 'GET /video/clip' || (event_id % 97) || '.mpg HTTP/1.0'
               ELSE 'GET /page/' || event_type || ' HTTP/1.0' END AS request,
          CAST(CASE WHEN event_id % 500 = 0 THEN NULL WHEN event_type = 'error' THEN 404 ELSE 200 END
-              AS INTEGER) AS "HTTP reply code",
+              AS DOUBLE) AS "HTTP reply code",
          CAST(CASE WHEN event_id % 500 = 0 OR event_type = 'error' THEN NULL ELSE event_id % 5000 END
-              AS INTEGER) AS "bytes in the reply"
+              AS DOUBLE) AS "bytes in the reply"
        FROM events""",
 )
 def parse_clf_split(spark, sf_dir):
-    return logs.parse_clf_split(lines(spark, sf_dir))
+    split = logs.parse_clf_split(lines(spark, sf_dir))
+    return _nullable_numbers(split, "HTTP reply code", "bytes in the reply")
 
 
 @query(
@@ -138,15 +148,16 @@ def parse_clf_split(spark, sf_dir):
          CASE WHEN event_id % 500 = 0 THEN NULL
               ELSE CAST(date_trunc('second', ts) AS VARCHAR) END AS time,
          CASE WHEN event_id % 500 = 0 THEN NULL
-              ELSE CAST(CAST(epoch(date_trunc('second', ts)) AS BIGINT) + 4 * 3600 AS BIGINT) END AS zoned_epoch
+              ELSE CAST(epoch(date_trunc('second', ts)) + 4 * 3600 AS DOUBLE) END AS zoned_epoch
        FROM events""",
 )
 def parse_clf_time(spark, sf_dir):
-    return parsed(spark, sf_dir).select(
+    times = parsed(spark, sf_dir).select(
         "event_id",
         clf_time("timestamp").cast("string").alias("time"),
         F.unix_timestamp(clf_time("timestamp", honour_zone=True)).alias("zoned_epoch"),
     )
+    return _nullable_numbers(times, "zoned_epoch")
 
 
 @query("project_day", sql("SELECT CAST(day(time) AS INTEGER) AS day FROM v_clean", "v_clean"))
@@ -193,9 +204,9 @@ def filter_no_status(spark, sf_dir):
     return logs.lines_without_status(lines(spark, sf_dir))
 
 
-@query("reparse_rejects", sql("SELECT * FROM v_parsed WHERE event_id % 500 = 0", "v_parsed"))
+@query("reparse_rejects", sql(f"{_PARSED_SQL} WHERE event_id % 500 = 0", "v_parsed"))
 def reparse_rejects(spark, sf_dir):
-    return logs.rejects(lines(spark, sf_dir), keep=["event_id"])
+    return _nullable_numbers(logs.rejects(lines(spark, sf_dir), keep=["event_id"]), "status", "content_size")
 
 
 @query(
@@ -388,9 +399,10 @@ def sort_daily(spark, sf_dir):
     return traffic.sort_daily(traffic.daily_requests(cleaned(spark, sf_dir), by="day"))
 
 
-@query("limit_sample", sql("SELECT * FROM v_parsed ORDER BY event_id LIMIT 20", "v_parsed"))
+@query("limit_sample", sql(f"{_PARSED_SQL} ORDER BY event_id LIMIT 20", "v_parsed"))
 def limit_sample(spark, sf_dir):
-    return ranking.limit_sample(parsed(spark, sf_dir), ["event_id"], 20)
+    rows = ranking.limit_sample(parsed(spark, sf_dir), ["event_id"], 20)
+    return _nullable_numbers(rows, "status", "content_size")
 
 
 # Numbering and ranking
