@@ -29,11 +29,11 @@ class Linear:
 def follow_leader(
     examples: list[Example],
     bits: int,
-    alpha: float = 0.3,
+    alpha: float = 1.0,
     beta: float = 1.0,
-    l1: float = 0.01,
-    l2: float = 0.01,
-    epochs: int = 4,
+    l1: float = 0.003,
+    l2: float = 0.001,
+    epochs: int = 6,
 ) -> Linear:
     """Logistic regression by follow-the-proximally-regularised-leader updates, one example at a time.
 

@@ -34,7 +34,7 @@ class Settings:
     bits: int = 20
     orders: int = 2
     sample_rows: int = 8000
-    epochs: int = 3
+    epochs: int = 6
 
 
 def word_features(
