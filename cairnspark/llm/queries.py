@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm import quality
+from cairnspark.llm import quality, toxicity
 from cairnspark.llm.text import part_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(part_of("doc_id", 5) != 0)
     model = quality.fit(documents, labels)
     return decided(quality.score(documents, model, to="score"), part_of("doc_id", 5) == 0, QUALITY_LEAST)
+
+
+TOXICITY_LEAST = 0.7
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(part_of("doc_id", 3) != 1)
+    model = toxicity.fit(documents, labels)
+    return decided(toxicity.score(documents, model, to="score"), part_of("doc_id", 3) == 1, TOXICITY_LEAST)
