@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm import quality, toxicity
+from cairnspark.llm import langid, quality, toxicity
 from cairnspark.llm.text import part_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(part_of("doc_id", 3) != 1)
     model = toxicity.fit(documents, labels)
     return decided(toxicity.score(documents, model, to="score"), part_of("doc_id", 3) == 1, TOXICITY_LEAST)
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    models = langid.fit(documents.where(part_of("doc_id", 5) != 0))
+    found = langid.identify(documents.select("doc_id", "text"), models)
+    return found.select(
+        "doc_id", (part_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_bits", "lang_rejected"
+    )
