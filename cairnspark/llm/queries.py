@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm import langid, quality, toxicity
+from cairnspark.llm import langid, quality, simhash, toxicity
 from cairnspark.llm.text import part_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", (part_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_bits", "lang_rejected"
     )
+
+
+@query("op9_simhash_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

@@ -137,6 +137,17 @@ def tokens(data: np.ndarray, bounds: np.ndarray, marks: bool = True) -> tuple[np
     return starts, ends, np.searchsorted(bounds, starts, side="right") - 1
 
 
+def blank_split(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row numbers of the longest runs without ASCII white space."""
+    visible = np.append(_CLASS[data] != _SPACE, False)
+    before = np.append(False, visible[:-1])
+    cut = np.zeros(len(data) + 1, bool)  # a run ends with its row
+    cut[bounds] = True
+    starts = np.flatnonzero(visible & (~before | cut))
+    ends = np.flatnonzero(before & (~visible | cut))
+    return starts, ends, np.searchsorted(bounds, starts, side="right") - 1
+
+
 def row_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(rows, weights=values, minlength=n)[:n]
 
