@@ -21,7 +21,8 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class Settings:
     order: int = 4
-    rows_per_language: int = 1500
+    rows_per_language: int = 1000
+    most_languages: int = 1000
     discount: float = 0.75
     #: Bits a character by which a text may lie above the worst calibration text of its language.
     slack: float = 0.5
@@ -152,19 +153,23 @@ def _learn(counts: dict[tuple[str, int], np.ndarray], settings: Settings) -> Mod
 def fit(documents: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Models:
     """Learn from at most ``settings.rows_per_language`` rows of each language, chosen by the hash of their id.
 
-    Rows without language take no part; a null id or text is an empty one. Four of five sampled
-    rows are counted, the fifth sets the limit of rejection. Raises ValueError if no row has a language.
+    Rows without id or language take no part; a null text is an empty one. Four of five sampled rows
+    are counted, the fifth sets the limit of rejection. Raises ValueError if no row has a language,
+    or if there are more than ``settings.most_languages``.
     """
-    spark = documents.sparkSession
-    order = Window.partitionBy("lang").orderBy("place", "doc_id")
-    rows = documents.select(
-        F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")
-    ).where("lang is not null").withColumn("place", F.xxhash64("doc_id"))
-    chosen = (
-        rows.select("doc_id", "lang", "place").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= settings.rows_per_language)
+    order = Window.partitionBy("lang").orderBy("place")
+    rows = (
+        documents.select(F.xxhash64(doc_id).alias("place"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+        .where("doc_id is not null and lang is not null")
+        .drop("doc_id")
     )
-    # A bounded number of rows for each language; Spark broadcasts them if they are few enough.
-    sample = rows.drop("place").join(chosen.select("doc_id", "lang", "nth").distinct(), ["doc_id", "lang"])
+    # Up to 1000 rows a group Spark ranks before the shuffle, so a language of most rows is no trouble.
+    ranked = rows.select("lang", "place").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= settings.rows_per_language)
+    last = ranked.groupBy("lang").agg(F.max("place").alias("last")).limit(settings.most_languages + 1).collect()
+    if len(last) > settings.most_languages:
+        raise ValueError(f"more than {settings.most_languages} languages")
+    limits = documents.sparkSession.createDataFrame([(r["lang"], r["last"]) for r in last], "lang string, last long")
+    sample = rows.join(F.broadcast(limits), "lang").where("place <= last")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -203,7 +208,7 @@ def fit(documents: DataFrame, settings: Settings = Settings(), doc_id: str = "do
             yield pa.RecordBatch.from_arrays([pa.array([_stored(models)], pa.binary())], names=["models"])
 
     counted = (
-        sample.where("nth % 5 <> 0")
+        sample.where("pmod(place, 5) <> 0")
         .select("lang", "text")
         .mapInArrow(count, "lang string, n int, gram long, context long, suffix long, first boolean, count long")
         .groupBy("lang", "n", "gram")
@@ -213,7 +218,7 @@ def fit(documents: DataFrame, settings: Settings = Settings(), doc_id: str = "do
     if found is None:
         raise ValueError("no row to learn a language from")
     models = _loaded(bytes(found["models"]))
-    return _calibrated(sample.where("nth % 5 = 0").select("lang", "text"), models, settings)
+    return _calibrated(sample.where("pmod(place, 5) = 0").select("lang", "text"), models, settings)
 
 
 def _stored(models: Models) -> bytes:
