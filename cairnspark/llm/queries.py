@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm import decontaminate, langid, quality, simhash, toxicity
+from cairnspark.llm import decontaminate, langid, pii, quality, simhash, toxicity
 from cairnspark.llm.text import part_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_words", "n_equal", "doc_word", "item_word")
+
+
+def _told(spans: str):
+    """``kind:start:end`` of the spans, which are in order, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.stop)), ",")
+
+
+@query("op8_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(documents, pii.fit(documents)).select("doc_id", "pii.base", "pii.spans")
+    counts = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long") for k in pii.KINDS}
+    return found.select(
+        "doc_id",
+        *(count.alias(name) for name, count in counts.items()),
+        F.sha2(_told("base"), 256).alias("base_sha256"),
+        _told("spans").alias("spans"),
+    )
