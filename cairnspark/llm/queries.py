@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm import decontaminate, langid, pii, quality, simhash, toxicity
+from cairnspark.llm import decontaminate, langid, pii, quality, simhash, subwords, toxicity
 from cairnspark.llm.text import part_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_told("base"), 256).alias("base_sha256"),
         _told("spans").alias("spans"),
     )
+
+
+def piece_model() -> str:
+    """Path of the installed vocabulary file; it is not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op4_sentencepiece")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return subwords.token_digests(documents, piece_model()).select("doc_id", "tokens.*")
