@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm import decontaminate, langid, pii, quality, simhash, subwords, toxicity
+from cairnspark.llm import decontaminate, langid, pagetext, pii, quality, simhash, subwords, toxicity
 from cairnspark.llm.text import part_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,9 @@ def piece_model() -> str:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return subwords.token_digests(documents, piece_model()).select("doc_id", "tokens.*")
+
+
+@query("op3_html_extraction")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pagetext.extract(pages).select("page_id", "url", "main.text", "main.n_chars")
