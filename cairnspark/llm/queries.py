@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm import decontaminate, langid, pagetext, pii, quality, simhash, subwords, toxicity
+from cairnspark.llm import decontaminate, langid, neighbours, pagetext, pii, quality, simhash, subwords, toxicity
 from cairnspark.llm.text import part_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return pagetext.extract(pages).select("page_id", "url", "main.text", "main.n_chars")
+
+
+@query("op2_nearest_neighbours")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
