@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm import decontaminate, langid, neighbours, pagetext, pii, quality, simhash, subwords, toxicity
+from cairnspark.llm import decontaminate, langid, lmscore, neighbours, pagetext, pii, quality, simhash, subwords, toxicity
 from cairnspark.llm.text import part_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,34 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_nearest_neighbours")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+LM_ORACLE = """
+WITH tokens AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
+places AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM tokens),
+pairs AS (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM places),
+one AS (SELECT w, count(*) AS c FROM places GROUP BY w),
+two AS (SELECT v, w, count(*) AS c FROM pairs WHERE v IS NOT NULL GROUP BY v, w),
+scored AS (
+  SELECT pairs.doc_id, two.c >= 2 OR pairs.v IS NULL AS found,
+    CASE WHEN two.c >= 2 THEN ln(two.c) - ln(before.c)
+         ELSE ln(own.c) - ln((SELECT count(*) FROM places)) + CASE WHEN pairs.v IS NULL THEN 0 ELSE ln(0.4) END END AS s
+  FROM pairs JOIN one AS own ON own.w = pairs.w LEFT JOIN one AS before ON before.w = pairs.v
+    LEFT JOIN two ON two.v = pairs.v AND two.w = pairs.w)
+SELECT tokens.doc_id, CAST(len(any_value(tokens.w)) AS BIGINT) AS n_words,
+  CAST(count(*) FILTER (WHERE scored.found) AS BIGINT) AS n_found,
+  round(coalesce(sum(scored.s), 0), 3) AS log_score
+FROM tokens LEFT JOIN scored ON scored.doc_id = tokens.doc_id GROUP BY tokens.doc_id
+"""
+
+
+@query("op6_lm_scoring")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lmscore.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "n_words", "n_found", F.round("log_score", 3).alias("log_score"))
+
+
+ORACLES["op6_lm_scoring"] = LM_ORACLE.strip()
