@@ -87,7 +87,7 @@ def _told(spans: str):
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(documents, pii.fit(documents)).select("doc_id", "pii.base", "pii.spans")
-    counts = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long") for k in pii.KINDS}
+    counts = {f"n_{k}": F.size(F.expr(f"filter(base, s -> s.kind = '{k}')")).cast("long") for k in pii.KINDS}
     return found.select(
         "doc_id",
         *(count.alias(name) for name, count in counts.items()),
