@@ -200,3 +200,26 @@ def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", set
         "fingerprint", F.coalesce("least_id", "first_id").alias("component_id")
     )
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """One row of each group of ``groups``, with all its columns: that of the smallest id.
+
+    A row without id stays only if no row of its group has one. Of rows with the same id, and of
+    rows without id, one is taken. No rows in, no rows out.
+    """
+    bounded_batches(documents.sparkSession)
+    rows = fingerprints(documents, text, "__print", settings).withColumn("__row", F.monotonically_increasing_id())
+    rows = materialise(rows, "printed")  # the row numbers hold from here on
+    nodes = rows.select(F.col("__print").alias("fingerprint")).distinct()
+    linked = connected_components(links(materialise(nodes, "classes"), settings))
+    best = (
+        rows.select("__print", "__row", F.col(doc_id).alias("__id"))
+        .groupBy("__print")
+        .agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("first"))
+        .join(linked, F.col("__print") == F.col("node"), "left")
+        .groupBy(F.coalesce("component", "__print").alias("root"))
+        .agg(F.min("first").alias("first"))
+        .select(F.col("first.__row").alias("__row"))
+    )
+    return rows.join(best, "__row", "left_semi").drop("__row", "__print")

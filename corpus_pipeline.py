@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairnspark.llm import quality
-from cairnspark.llm.queries import QUALITY_LEAST, table
+from cairnspark.llm import decontaminate, pii, quality, simhash, subwords
+from cairnspark.llm.queries import QUALITY_LEAST, piece_model, table
 from cairnspark.llm.text import part_of
 from cairnspark.sources.tables import materialise
 
@@ -26,8 +27,34 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.score(docs, model, to="__score").where(f"__score >= {QUALITY_LEAST}").select(*COLUMNS)
 
 
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near copies."""
+    return simhash.keep_one(docs).select(*COLUMNS)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an overlap with a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; personal data in the text gives way to its kind in brackets, ``n_chars`` follows."""
+    found = pii.find(docs, pii.fit(docs), to="__pii")
+    clean = found.withColumns({"text": F.col("__pii.text"), "n_chars": F.length("__pii.text").cast("long")})
+    return clean.select(*COLUMNS)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
+    return subwords.token_digests(docs, piece_model(), to="__tokens").select("doc_id", "__tokens.*")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pii_redaction", pii_redaction),
+    ("sentencepiece", sentencepiece),
 ]
 
 #: SQL cannot express the stages; tests compare them with brute force.
@@ -35,6 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: a row for each document that stays."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
