@@ -34,7 +34,7 @@ class Settings:
 
 def packed(numbers: np.ndarray) -> bytes:
     """Unsigned numbers byte plane by byte plane: equal high bytes stand together and compress well."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T).tobytes()
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
@@ -184,7 +184,7 @@ def score(documents: DataFrame, settings: Settings = Settings(), doc_id: str = "
                         pa.array(row["doc_ids"], batch.schema.field("doc_ids").type.value_type),
                         pa.array(np.diff(edges)),
                         pa.array(np.bincount(owner, found, len(edges) - 1).astype(np.int64)),
-                        pa.array(np.bincount(owner, log, len(edges) - 1)),
+                        pa.array(np.bincount(owner, log, len(edges) - 1).astype(np.float64)),
                     ],
                     names=["doc_id", "n_words", "n_found", "log_score"],
                 )
