@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A batch is cut into pieces of about this many bytes of text; one longer text is a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -74,7 +74,7 @@ def slices(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[pa.Array]:
         yield column.slice(start)
 
 
-def bounded_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
     """Let no Arrow batch that goes to Python hold many more bytes than ``limit``, however long the rows are."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name, None)
