@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.text import bounded_batches, flat, lowered, mix, pieces, run_hashes, tokens
+from cairnspark.llm.text import bounded_batches, flat, lowered, mix, pieces, run_hashes, slices, tokens
 from cairnspark.sources.tables import materialise
 
 
@@ -27,9 +27,9 @@ class Settings:
     backoff: float = 0.4
     #: N-grams of two words or more that the corpus has less often count as unseen.
     least_count: int = 2
-    block_bytes: int = 8 << 20
+    block_bytes: int = 4 << 20
     #: Entries of a bucket of the count table, about.
-    bucket_entries: int = 1 << 21
+    bucket_entries: int = 1 << 20
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -44,11 +44,15 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
 
 def _block(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words, the word number of each token, bounds of the rows in the tokens."""
-    data, bounds = flat(batch.column("text"))
-    data = lowered(data)
-    starts, ends, rows = tokens(data, bounds, marks=False)
-    words, word = np.unique(run_hashes(data, starts, ends), return_inverse=True)
-    return words, word.astype(np.uint32), np.searchsorted(rows, np.arange(len(bounds)))
+    codes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for part in slices(batch.column("text")):  # only numbers of words, not of bytes, are held for a whole block
+        data, bounds = flat(part)
+        data = lowered(data)
+        starts, ends, rows = tokens(data, bounds, marks=False)
+        codes.append(run_hashes(data, starts, ends))
+        sizes.append(np.bincount(rows, minlength=len(part))[: len(part)])
+    words, word = np.unique(np.concatenate(codes), return_inverse=True)
+    return words, word.astype(np.uint32), np.append(0, np.cumsum(np.concatenate(sizes)))
 
 
 def _grams(words: np.ndarray, word: np.ndarray, edges: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
