@@ -114,7 +114,7 @@ def cv_tune(
     ensure_checkpoint_dir(spark)
     grid = dict(grid or GRIDS[kind])
     inputs = list(inputs or feature_columns(df, label))
-    fold = hash_bucket(fold_keys or inputs, folds)
+    fold = hash_bucket(fold_keys or inputs, folds, "tuning")
     rows = assemble(df.select(*inputs, label, fold.alias("_fold")), inputs)
     estimator = _estimator(kind, label, params or {}, len(inputs))
     builder = ParamGridBuilder()

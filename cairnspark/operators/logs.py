@@ -15,18 +15,24 @@ LOG_FIELDS = ("host", "timestamp", "method", "endpoint", "protocol", "status", "
 
 
 def parse_clf(
-    df: DataFrame, col: str = "value", blank_to_null: bool = False, keep: Sequence[str] = ()
+    df: DataFrame,
+    col: str = "value",
+    blank_to_null: bool = False,
+    keep: Sequence[str] = (),
+    any_zone: bool = False,
+    any_host: bool = False,
 ) -> DataFrame:
     """The seven log fields of each line, each found by its own pattern.
 
     A text field whose pattern does not match is ``''`` (NULL with ``blank_to_null``); ``status``
     and ``content_size`` are NULL. The status is the first three-digit word of the line, so a
     request that itself holds one wins over the real code: ``parse_clf_split`` goes by position.
-    ``keep`` names further input columns to carry along.
+    ``keep`` names further input columns to carry along. Times with a ``+`` zone are found with
+    ``any_zone`` only, hosts without a dot with ``any_host`` only.
     """
     text = {
-        "host": F.regexp_extract(col, clf.HOST_PATTERN, 1),
-        "timestamp": F.regexp_extract(col, clf.TIME_PATTERN, 1),
+        "host": F.regexp_extract(col, r"^(\S++)\s" if any_host else clf.HOST_PATTERN, 1),
+        "timestamp": F.regexp_extract(col, clf.ANY_ZONE_TIME_PATTERN if any_zone else clf.TIME_PATTERN, 1),
         "method": F.regexp_extract(col, clf.REQUEST_PATTERN, 1),
         "endpoint": F.regexp_extract(col, clf.REQUEST_PATTERN, 2),
         "protocol": F.regexp_extract(col, clf.REQUEST_PATTERN, 3),
@@ -37,20 +43,22 @@ def parse_clf(
         *keep,
         *[field.alias(name) for name, field in text.items()],
         F.regexp_extract(col, clf.STATUS_PATTERN, 1).try_cast("int").alias("status"),
-        F.regexp_extract(col, clf.SIZE_PATTERN, 1).try_cast("int").alias("content_size"),
+        F.regexp_extract(col, clf.SIZE_PATTERN, 1).try_cast("bigint").alias("content_size"),
     )
 
 
 def parse_clf_split(df: DataFrame, col: str = "value") -> DataFrame:
-    """Five fields; reply code and bytes are the last two blank-separated words. Drops ``col``."""
+    """Five fields of a line; reply code and bytes are the last two blank-separated words. Drops ``col``."""
     words = F.split(col, " ")
     return df.withColumns(
         {
             "host": F.regexp_extract(col, clf.SPLIT_HOST_PATTERN, 1),
-            "timestamp": F.regexp_extract(col, clf.SPLIT_TIME_PATTERN, 1),
+            "timestamp": F.regexp_extract(
+                F.regexp_extract(col, clf.SPLIT_TIME_END_PATTERN, 1), clf.SPLIT_TIME_PATTERN, 1
+            ),
             "request": F.regexp_extract(col, clf.SPLIT_REQUEST_PATTERN, 1),
             "HTTP reply code": F.try_element_at(words, F.lit(-2)).try_cast("int"),
-            "bytes in the reply": F.try_element_at(words, F.lit(-1)).try_cast("int"),
+            "bytes in the reply": F.try_element_at(words, F.lit(-1)).try_cast("bigint"),
         }
     ).drop(col)
 

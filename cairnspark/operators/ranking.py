@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.sources.tables import materialise
-
 # Groups of keys used to find the cut among keys of one level; also the expected size of the
 # sorted key list that is compared with each of those keys.
 KEY_SLICES = 256
@@ -67,7 +65,6 @@ def extreme_share(
     count: str = "n_ratings",
     by: str | None = None,
     slices: int = KEY_SLICES,
-    stored: bool = False,
 ) -> DataFrame:
     """The floor(``share`` × keys) keys with the most (fewest) counts; equal counts go by key, ascending.
 
@@ -80,15 +77,16 @@ def extreme_share(
     3. Only that range is sorted, and yields the last wanted key.
 
     The sample is a hash rule, not random, so every step sees the same ranges. The steps read
-    ``counts`` several times, so it is written to shared storage first, unless the caller says that
-    it is ``stored`` already. What is broadcast is small by construction: one row per ``by``, or
-    the histogram, which has at most sqrt(2 N) levels for N counted rows.
+    ``counts`` several times; if it is an aggregation, Spark runs its shuffle once. Numbers of rows
+    have at most sqrt(2 N) levels for N counted rows; the histogram is joined without a hint, so
+    other measures with more levels are right too. What is broadcast is one row per cut level, or
+    about ``slices`` keys for it.
+
+    A NULL key is a key like any other, the last one of its level. Rows with a NULL ``by`` are left out.
     """
-    if not stored:
-        counts = materialise(counts, "key-counts")
     group = [by] if by else []
     level = [*group, count]
-    rows = counts.dropna(subset=[*group, key])
+    rows = counts.dropna(subset=group) if group else counts
 
     # 1. levels taken
     most_first = F.col(count).desc() if largest else F.col(count)
@@ -102,8 +100,8 @@ def extreme_share(
         .where(F.col("_need") > 0)
         .select(*level, "_have", "_need")
     )
-    rows = rows.join(F.broadcast(levels), level)
-    divided = rows.where(F.col("_need") < F.col("_have"))
+    rows = rows.join(levels, level)
+    divided = rows.where((F.col("_need") < F.col("_have")) & F.col(key).isNotNull())
 
     # 2. range of the last wanted key
     stride = F.ceil(F.col("_have") / slices)

@@ -15,7 +15,7 @@ from cairnspark.operators.metrics import rmse
 from cairnspark.operators.ranking import extreme_share
 from cairnspark.operators.relational import union_all
 from cairnspark.operators.splits import SEED
-from cairnspark.sources.tables import ensure_checkpoint_dir, fresh_path, materialise, write_parquet
+from cairnspark.sources.tables import ensure_checkpoint_dir, fresh_path, write_parquet
 
 # Two settings that differ: the estimator's defaults, and a smaller model with a stronger penalty.
 VARIANTS = {"default": {"rank": 10, "reg": 0.1}, "compact": {"rank": 5, "reg": 0.2}}
@@ -40,7 +40,8 @@ def als_predict(
 ) -> tuple[ALSModel, DataFrame]:
     """Fit ALS on ``train`` and score ``test``; rows with an unseen user or item are dropped.
 
-    ``blocks`` sets the user and item blocks; more of them make smaller tasks on a large cluster.
+    ``blocks`` sets the user and item blocks, which bound the number of tasks; by default as many as
+    the session runs tasks at a time, and ten at least.
     """
     ensure_checkpoint_dir(train.sparkSession)
     als = ALS(
@@ -53,9 +54,7 @@ def als_predict(
         ratingCol=rating,
         coldStartStrategy="drop",
     )
-    if blocks is not None:
-        als = als.setNumBlocks(blocks)
-    model = als.fit(train)
+    model = als.setNumBlocks(blocks or max(10, train.sparkSession.sparkContext.defaultParallelism)).fit(train)
     return model, model.transform(test)
 
 
@@ -139,10 +138,9 @@ def training_activity(folded: DataFrame, k: int = 5) -> DataFrame:
 def activity_groups(activity: DataFrame, share: float = 0.1, by: str | None = "fold") -> DataFrame:
     """(by, user_id, grp): the most (``hot``) and the least (``cool``) active users. A user may be in both."""
     keys = [by, "user_id"] if by else ["user_id"]
-    activity = materialise(activity, "user-activity")
     return union_all(
         [
-            extreme_share(activity, share, largest, by=by, stored=True).select(*keys, F.lit(name).alias("grp"))
+            extreme_share(activity, share, largest, by=by).select(*keys, F.lit(name).alias("grp"))
             for name, largest in (("hot", True), ("cool", False))
         ]
     )
@@ -194,10 +192,15 @@ def _exploded(recs: DataFrame, key: str, other: str) -> DataFrame:
     )
 
 
-def recommend_users(model: ALSModel, n: int = 5) -> DataFrame:
-    """(user, rank, item, score): the ``n`` best items for every user."""
+def recommend_users(model: ALSModel, n: int = 5, users: DataFrame | None = None) -> DataFrame:
+    """(user, rank, item, score): the ``n`` best items for every user, or for those of ``users`` only.
+
+    Spark multiplies blocks of user factors with blocks of item factors: the work is users x items x
+    rank, the output n rows per user. Give ``users`` where not everybody needs a list.
+    """
     user, item = model.getOrDefault("userCol"), model.getOrDefault("itemCol")
-    return _exploded(model.recommendForAllUsers(n), user, item)
+    recs = model.recommendForAllUsers(n) if users is None else model.recommendForUserSubset(users, n)
+    return _exploded(recs, user, item)
 
 
 def recommend_items(model: ALSModel, items: DataFrame, n: int = 10) -> DataFrame:

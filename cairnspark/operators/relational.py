@@ -1,4 +1,4 @@
-"""Bag union, distinct items, and joins against a side of checked size."""
+"""Bag union and distinct items."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# A side of up to this many narrow rows is broadcast (about 50 MB in memory per executor).
-BROADCAST_ROWS = 1_000_000
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -19,12 +15,3 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 
 def distinct_items(ratings: DataFrame, item: str = "item_id") -> DataFrame:
     return ratings.select(item).distinct()
-
-
-def sized(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``side`` with a broadcast hint if a count shows at most ``max_rows`` rows, else unchanged.
-
-    Only for narrow tables that are cheap to count. Without the hint Spark shuffles both sides, and
-    AQE splits the partition of a hot key, or still broadcasts when the written side is small.
-    """
-    return F.broadcast(side) if side.count() <= max_rows else side

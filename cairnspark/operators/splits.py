@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from cairnspark.functions import hash_bucket
 from cairnspark.operators.relational import union_all
 
+#: Fixed value: the published seed.
 SEED = 8744
+#: Salts of the keyed forms. They differ, so that a sample, a hold-out and folds on one key are independent.
+SAMPLE, HOLDOUT, FOLDS = "sample", "holdout", "folds"
 
 
 def _threshold(fraction: float, resolution: int) -> int:
@@ -21,29 +24,42 @@ def _threshold(fraction: float, resolution: int) -> int:
 
 
 def hash_sample(
-    df: DataFrame, keys: Sequence[str] | None, fraction: float, resolution: int = 100, seed: int = SEED
+    df: DataFrame,
+    keys: Sequence[str] | None,
+    fraction: float,
+    resolution: int = 100,
+    seed: int = SEED,
+    salt: str = SAMPLE,
 ) -> DataFrame:
     """The rows whose key hash falls into the first ``fraction`` of buckets; without ``keys`` a seeded random sample."""
     if keys is None:
         return df.sample(fraction=fraction, seed=seed)
-    return df.where(hash_bucket(keys, resolution) < _threshold(fraction, resolution))
+    return df.where(hash_bucket(keys, resolution, salt) < _threshold(fraction, resolution))
 
 
 def holdout(
-    df: DataFrame, keys: Sequence[str] | None, test: float = 0.2, resolution: int = 100, seed: int = SEED
+    df: DataFrame,
+    keys: Sequence[str] | None,
+    test: float = 0.2,
+    resolution: int = 100,
+    seed: int = SEED,
+    salt: str = HOLDOUT,
 ) -> DataFrame:
     """Add ``part``: ``test`` for that share of the rows, else ``train``.
 
     Without ``keys`` by a seeded random number; that one depends on the order of the rows, so store
     the result before using both parts.
     """
-    in_test = F.rand(seed) < test if keys is None else hash_bucket(keys, resolution) < _threshold(test, resolution)
+    if keys is None:
+        in_test = F.rand(seed) < test
+    else:
+        in_test = hash_bucket(keys, resolution, salt) < _threshold(test, resolution)
     return df.withColumn("part", F.when(in_test, "test").otherwise("train"))
 
 
-def assign_folds(df: DataFrame, keys: Sequence[str], k: int = 5) -> DataFrame:
+def assign_folds(df: DataFrame, keys: Sequence[str], k: int = 5, salt: str = FOLDS) -> DataFrame:
     """Add ``fold`` 0 .. k-1 from the key hash."""
-    return df.withColumn("fold", hash_bucket(keys, k))
+    return df.withColumn("fold", hash_bucket(keys, k, salt))
 
 
 def training_part(folded: DataFrame, fold: int, k: int = 5) -> DataFrame:

@@ -66,7 +66,10 @@ def requests_per_host(df: DataFrame, ts: str = "time", host: str = "host", rsd:
 
     Exact by default: Spark first aggregates on (date, host), so a busy day is spread over its
     hosts. ``rsd`` asks for the approximate count with that relative deviation, without that shuffle.
+    Lines whose host was not found (``''`` or NULL) count in neither number; parse with ``any_host``
+    to have hosts without a dot as well.
     """
+    df = df.where(F.col(host) != "")
     hosts = F.count_distinct(host) if rsd is None else F.approx_count_distinct(host, rsd)
     return (
         df.groupBy(F.to_date(ts).alias("date"))

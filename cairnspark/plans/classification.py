@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairnspark.functions import hash_bucket
 from cairnspark.operators import classify, metrics, splits
 from cairnspark.operators.relational import union_all
 from cairnspark.plans import views
@@ -16,18 +17,16 @@ from cairnspark.sources import fresh_path, materialise, read_wide
 
 LABEL = f"_c{N_FEATURES}"
 INPUTS = [f"_c{i}" for i in range(N_FEATURES)]
-# Settings of the single fits, as in the published runs but with shallower trees.
+# Settings of the single fits, as in the published runs.
 FITS = {
-    "rf": {"maxDepth": 5},
+    "rf": {"maxDepth": 15},
     "lr": {"elasticNetParam": 0.0, "maxIter": 5},
-    "mlp": {"maxIter": 20},
-}
-# Two grid points per model keep the tuning short.
-GRIDS = {
-    "rf": {"maxDepth": [3, 5]},
-    "lr": {"elasticNetParam": [0.0, 1.0]},
-    "mlp": {"maxIter": [5, 20]},
+    "mlp": {"maxIter": 5},
 }
+GRIDS = classify.GRIDS
+#: Share of the training rows that the grids are tuned on. The published runs take 0.01 of five
+#: million rows; the smallest test table has 500.
+TUNING_SHARE = 0.5
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,13 +58,27 @@ def tuned(spark: SparkSession, sf_dir: str, kind: str) -> classify.Tuned:
         sf_dir,
         f"tune-{kind}",
         lambda: classify.cv_tune(
-            kind, train(spark, sf_dir), GRIDS[kind], inputs=INPUTS, fold_keys=["vec_id"]
+            kind,
+            splits.hash_sample(train(spark, sf_dir), ["vec_id"], TUNING_SHARE),
+            GRIDS[kind],
+            inputs=INPUTS,
+            fold_keys=["vec_id"],
         ),
     )
 
 
-def scored(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    rows = classify.score(fitted(spark, sf_dir, kind), test(spark, sf_dir))
+def refitted(spark: SparkSession, sf_dir: str, kind: str):
+    """The winner of the tuning, fitted on the whole training part."""
+    return once(
+        spark,
+        sf_dir,
+        f"refit-{kind}",
+        lambda: classify.refit(kind, train(spark, sf_dir), tuned(spark, sf_dir, kind), inputs=INPUTS),
+    )
+
+
+def scored(spark: SparkSession, sf_dir: str, kind: str, model=fitted) -> DataFrame:
+    rows = classify.score(model(spark, sf_dir, kind), test(spark, sf_dir))
     return rows.select(F.lit(kind).alias("model"), "vec_id", "label", "prediction", "score")
 
 
@@ -107,7 +120,7 @@ def assemble_features(spark, sf_dir):
 
 @query(
     "sample_fraction",
-    "SELECT event_id FROM events WHERE ('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8))::BIGINT % 100 < 1",
+    "SELECT event_id FROM events WHERE ('0x' || substr(md5('sample-' || event_id), 1, 8))::BIGINT % 100 < 1",
 )
 def sample_fraction(spark, sf_dir):
     return splits.hash_sample(views.table(spark, sf_dir, "events"), ["event_id"], 0.01).select("event_id")
@@ -115,31 +128,39 @@ def sample_fraction(spark, sf_dir):
 
 @query(
     "split_counts",
-    """WITH h AS (SELECT ('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8))::BIGINT AS h FROM events)
-       SELECT 'test' AS part, count(*) AS n_rows FROM h WHERE h % 100 < 20
-       UNION ALL SELECT 'train', count(*) FROM h WHERE h % 100 >= 20
-       UNION ALL SELECT 'subset', count(*) FROM h WHERE h % 100 >= 20 AND h % 97 = 0""",
+    """WITH h AS (SELECT ('0x' || substr(md5('holdout-' || event_id), 1, 8))::BIGINT % 100 AS h,
+                         ('0x' || substr(md5('sample-' || event_id), 1, 8))::BIGINT % 100 AS s FROM events)
+       SELECT 'test' AS part, count(*) AS n_rows FROM h WHERE h < 20
+       UNION ALL SELECT 'train', count(*) FROM h WHERE h >= 20
+       UNION ALL SELECT 'subset', count(*) FROM h WHERE h >= 20 AND s < 1""",
 )
 def split_counts(spark, sf_dir):
-    # The subset is drawn from the training part, by another modulus of the same hash; one pass counts all.
     rows = splits.holdout(views.table(spark, sf_dir, "events").select("event_id"), ["event_id"])
-    in_subset = (F.col("part") == "train") & (hash_bucket(["event_id"], 97) == 0)
-    names = F.array_compact(F.array("part", F.when(in_subset, "subset")))
-    return splits.split_counts(rows.select(F.explode(names).alias("part")))
+    subset = splits.hash_sample(rows.where("part = 'train'"), ["event_id"], 0.01).withColumn("part", F.lit("subset"))
+    return splits.split_counts(union_all([rows, subset]))
 
 
 @query(
     "label_balance",
     sql(
-        """SELECT label, n_rows, round(n_rows / sum(n_rows) OVER (), 6) AS share,
-             round(max(n_rows) OVER () / sum(n_rows) OVER (), 6) AS majority_share
-           FROM (SELECT CASE WHEN _c64 = -1 THEN 0 ELSE _c64 END AS label, count(*) AS n_rows FROM v_wide GROUP BY 1)""",
+        """SELECT stage, CASE WHEN stage = 'recoded' AND label = -1 THEN 0 ELSE label END AS label, n_rows,
+             round(n_rows / sum(n_rows) OVER (PARTITION BY stage), 6) AS share,
+             round(max(n_rows) OVER (PARTITION BY stage) / sum(n_rows) OVER (PARTITION BY stage), 6) AS majority_share
+           FROM (SELECT _c64 AS label, count(*) AS n_rows FROM v_wide GROUP BY 1), (VALUES ('raw'), ('recoded')) s(stage)""",
         "v_wide",
     ),
 )
 def label_balance(spark, sf_dir):
-    rows = classify.recode_label(views.wide(spark, sf_dir), LABEL).withColumnRenamed(LABEL, "label")
-    return metrics.label_balance(rows).withColumns({c: F.round(c, 6) for c in ("share", "majority_share")})
+    """Counts of the label as it comes, and recoded."""
+    raw = views.wide(spark, sf_dir)
+    stages = {"raw": raw, "recoded": classify.recode_label(raw, LABEL)}
+    counts = union_all(
+        [
+            metrics.label_balance(rows.withColumnRenamed(LABEL, "label")).withColumn("stage", F.lit(stage))
+            for stage, rows in stages.items()
+        ]
+    )
+    return counts.withColumns({c: F.round(c, 6) for c in ("share", "majority_share")})
 
 
 # Metrics on fixed predictions
@@ -183,6 +204,123 @@ def auc(spark, sf_dir):
 # Models
 
 
+def _is_test(part: str) -> str:
+    return f"('0x' || substr(md5('{part}-' || vec_id), 1, 8))::BIGINT % 100"
+
+
+_PLANTED = f"""v_planted AS (SELECT vec_id, CASE WHEN _c0 + _c1 > 0 THEN 1 ELSE 0 END AS label,
+    {_is_test("holdout")} < 20 AS in_test, {_is_test("sample")} < {round(100 * TUNING_SHARE)} AS in_sample FROM v_wide)"""
+
+_FITTED = sql(
+    """SELECT '{kind}' AS model, vec_id, label, true AS agrees, true AS score_in_range FROM v_planted WHERE in_test""",
+    "v_wide",
+    _PLANTED,
+)
+
+
+def _checked(rows: DataFrame) -> DataFrame:
+    """Keys, label, and whether prediction and score, which no other engine can recompute, fit together."""
+    return rows.select(
+        "model",
+        "vec_id",
+        "label",
+        # At a score of one half either class may win.
+        (((F.col("score") >= 0.5) == (F.col("prediction") == 1)) | (F.abs(F.col("score") - 0.5) < 1e-9)).alias("agrees"),
+        F.col("score").between(0, 1).alias("score_in_range"),
+    )
+
+
+@query("rf_fit_predict_check", _FITTED.format(kind="rf"))
+def rf_fit_predict_check(spark, sf_dir):
+    return _checked(scored(spark, sf_dir, "rf"))
+
+
+@query("lr_fit_predict_check", _FITTED.format(kind="lr"))
+def lr_fit_predict_check(spark, sf_dir):
+    return _checked(scored(spark, sf_dir, "lr"))
+
+
+@query("mlp_fit_predict_check", _FITTED.format(kind="mlp"))
+def mlp_fit_predict_check(spark, sf_dir):
+    return _checked(scored(spark, sf_dir, "mlp"))
+
+
+def _grid_sizes() -> str:
+    sizes = {kind: math.prod(len(v) for v in grid.values()) for kind, grid in GRIDS.items()}
+    return ", ".join(f"('{kind}', {n})" for kind, n in sizes.items())
+
+
+@query(
+    "cv_tune_check",
+    f"""SELECT model, CAST(i AS INTEGER) AS grid_point, CAST(1 AS BIGINT) AS n_winners, true AS metric_in_range
+        FROM (VALUES {_grid_sizes()}) AS g(model, n), range(100) AS r(i) WHERE i < n""",
+)
+def cv_tune_check(spark, sf_dir):
+    """Every grid point of the tuning on a sample of the training part, with checks of its metric."""
+    report = union_all([tuned(spark, sf_dir, kind).report for kind in GRIDS])
+    best = Window.partitionBy("model")
+    is_best = F.col("winner") & (F.col("mean_metric") == F.max("mean_metric").over(best))
+    return report.select(
+        "model",
+        "grid_point",
+        F.count_if(is_best).over(best).alias("n_winners"),
+        F.col("mean_metric").between(0, 1).alias("metric_in_range"),
+    )
+
+
+_ACCURACY = sql(
+    """SELECT m.model, count(*) AS n_rows, true AS in_range
+       FROM v_planted, (VALUES ('rf'), ('lr'), ('mlp')) AS m(model) WHERE in_test GROUP BY m.model""",
+    "v_wide",
+    _PLANTED,
+)
+
+
+@query("score_test_check", _ACCURACY)
+def score_test_check(spark, sf_dir):
+    """Rows behind the accuracy of each refitted winner, and whether it is a share."""
+    report = metrics.accuracy(union_all([scored(spark, sf_dir, kind, refitted) for kind in GRIDS]), ["model"])
+    return report.select("model", "n_rows", F.col("accuracy").between(0, 1).alias("in_range"))
+
+
+@query(
+    "refit_full_check",
+    sql(
+        """SELECT m.model, count(*) FILTER (WHERE in_test) AS n_test, count(*) FILTER (WHERE NOT in_test) AS n_train,
+             count(*) FILTER (WHERE in_sample AND NOT in_test) AS n_tuning, true AS has_winners_settings
+           FROM v_planted, (VALUES ('rf'), ('lr'), ('mlp')) AS m(model) GROUP BY m.model""",
+        "v_wide",
+        _PLANTED,
+    ),
+)
+def refit_full_check(spark, sf_dir):
+    """Rows of the chain (tuned on, fitted on, scored) and whether the refit has the winner's settings."""
+    train_rows = train(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_train"))
+    tuning_rows = splits.hash_sample(train(spark, sf_dir), ["vec_id"], TUNING_SHARE).agg(F.count(F.lit(1)).alias("n"))
+    reports = []
+    for kind in GRIDS:
+        wanted = tuned(spark, sf_dir, kind).params
+        settings = classify.param_rows(refitted(spark, sf_dir, kind), kind).where(F.col("param").isin(*wanted))
+        given = settings.agg(F.sort_array(F.collect_list(F.concat_ws("=", "param", "value"))).alias("x"))
+        same = given.scalar() == F.array(*(F.lit(f"{k}={v}") for k, v in sorted(wanted.items())))
+        done = scored(spark, sf_dir, kind, refitted).groupBy("model").agg(F.count("prediction").alias("n_test"))
+        reports.append(done.select("*", same.alias("has_winners_settings")))
+    return union_all(reports).select(
+        "model", "n_test", train_rows.scalar().alias("n_train"), tuning_rows.scalar().alias("n_tuning"), "has_winners_settings"
+    )
+
+
+@query("model_report_check", _ACCURACY)
+def model_report_check(spark, sf_dir):
+    """Rows behind the report on the refitted winners, and whether accuracy and area under ROC are shares."""
+    report = metrics.model_report(union_all([scored(spark, sf_dir, kind, refitted) for kind in GRIDS]))
+    in_range = F.col("accuracy").between(0, 1) & F.col("auc").between(0, 1)
+    return report.select("model", "n_rows", in_range.alias("in_range"))
+
+
+# Whole results of the fits, which no other engine can recompute; the checks above hold what SQL can say of them.
+
+
 @query("rf_fit_predict")
 def rf_fit_predict(spark, sf_dir):
     return scored(spark, sf_dir, "rf")
@@ -200,38 +338,22 @@ def mlp_fit_predict(spark, sf_dir):
 
 @query("cv_tune")
 def cv_tune(spark, sf_dir):
+    """Every grid point of the tuning on a sample of the training part."""
     return union_all([tuned(spark, sf_dir, kind).report for kind in GRIDS])
 
 
 @query("score_test")
 def score_test(spark, sf_dir):
-    """Accuracy of each tuned model on the test part."""
-    rows = [
-        classify.score(tuned(spark, sf_dir, kind).model, classify.assemble(test(spark, sf_dir), INPUTS)).select(
-            F.lit(kind).alias("model"), "label", "prediction"
-        )
-        for kind in GRIDS
-    ]
-    return metrics.accuracy(union_all(rows), ["model"])
+    """Accuracy on the test part of each winner, refitted on the whole training part."""
+    return metrics.accuracy(union_all([scored(spark, sf_dir, kind, refitted) for kind in GRIDS]), ["model"])
 
 
 @query("refit_full")
 def refit_full(spark, sf_dir):
-    """Settings of each winner, refitted on the whole training part."""
-    models = {
-        kind: once(
-            spark,
-            sf_dir,
-            f"refit-{kind}",
-            lambda kind=kind: classify.refit(
-                kind, train(spark, sf_dir), tuned(spark, sf_dir, kind), FITS[kind], inputs=INPUTS
-            ),
-        )
-        for kind in GRIDS
-    }
-    return union_all([classify.param_rows(model, kind) for kind, model in models.items()])
+    """Settings of each winner, refitted on the whole training part; ``score_test`` scores them."""
+    return union_all([classify.param_rows(refitted(spark, sf_dir, kind), kind) for kind in GRIDS])
 
 
 @query("model_report")
 def model_report(spark, sf_dir):
-    return metrics.model_report(union_all([scored(spark, sf_dir, kind) for kind in FITS]))
+    return metrics.model_report(union_all([scored(spark, sf_dir, kind, refitted) for kind in GRIDS]))

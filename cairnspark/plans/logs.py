@@ -341,14 +341,16 @@ def agg_bool_share(spark, sf_dir):
 @query(
     "agg_avg_requests_per_host",
     sql(
-        """SELECT CAST(CAST(time AS DATE) AS VARCHAR) AS date, count(*) AS total_reqs,
-             count(DISTINCT host) AS total_hosts, round(count(*) / count(DISTINCT host), 6) AS avg_reqs
-           FROM v_clean GROUP BY 1""",
-        "v_clean",
+        """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS total_reqs,
+             count(DISTINCT user_id) AS total_hosts, round(count(*) / count(DISTINCT user_id), 6) AS avg_reqs
+           FROM v_valid GROUP BY 1""",
+        "v_valid AS (SELECT * FROM events WHERE event_id % 500 <> 0)",
     ),
 )
 def agg_avg_requests_per_host(spark, sf_dir):
-    per_day = traffic.requests_per_host(cleaned(spark, sf_dir))
+    """With hosts by position, so that each host without a dot counts on its own."""
+    rows = logs.parse_clf(lines(spark, sf_dir), any_host=True)
+    per_day = traffic.requests_per_host(logs.clean_logs(rows))
     return _date_as_text(per_day).withColumn("avg_reqs", F.round("avg_reqs", 6))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnspark.operators import clusters as cl
@@ -17,8 +17,6 @@ from cairnspark.sources import fresh_path, materialise, read_ratings, read_tag_s
 
 KEYS = ["user_id", "item_id"]
 K = 5
-# Few iterations keep the ten fits of the registered queries short.
-CV_ITERATIONS = 5
 
 
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +39,7 @@ def cross_validation(spark: SparkSession, sf_dir: str) -> recommend.CrossValidat
         spark,
         sf_dir,
         "cross-validation",
-        lambda: recommend.als_cv(stored_folds(spark, sf_dir), k=K, max_iter=CV_ITERATIONS, parallelism=4),
+        lambda: recommend.als_cv(stored_folds(spark, sf_dir), k=K, parallelism=4),
     )
 
 
@@ -184,7 +182,7 @@ def distinct_items(spark, sf_dir):
     "split_holdout",
     sql(
         """SELECT user_id, item_id, rating,
-             CASE WHEN ('0x' || substr(md5(user_id || '-' || item_id), 1, 8))::BIGINT % 100 < 20
+             CASE WHEN ('0x' || substr(md5('holdout-' || user_id || '-' || item_id), 1, 8))::BIGINT % 100 < 20
                   THEN 'test' ELSE 'train' END AS part FROM v_ratings""",
         "v_ratings",
     ),
@@ -214,9 +212,28 @@ def fold_sizes(spark, sf_dir):
 # Recommendation
 
 
-@query("als_predict")
-def als_predict(spark, sf_dir):
-    return holdout_fit(spark, sf_dir)[1].select("user_id", "item_id", "rating", "prediction")
+_HOLDOUT = """v_holdout AS (SELECT *,
+    ('0x' || substr(md5('holdout-' || user_id || '-' || item_id), 1, 8))::BIGINT % 100 < 20 AS in_test FROM v_ratings)"""
+
+
+def _finite(column: str) -> Column:
+    """Whether a number, which no other engine can recompute, is one at all."""
+    return F.coalesce(F.col(column).between(-1e6, 1e6) & ~F.isnan(column), F.lit(False))
+
+
+@query(
+    "als_predict_check",
+    sql(
+        """SELECT user_id, item_id, rating, true AS finite FROM v_holdout WHERE in_test
+             AND user_id IN (SELECT user_id FROM v_holdout WHERE NOT in_test)
+             AND item_id IN (SELECT item_id FROM v_holdout WHERE NOT in_test)""",
+        "v_ratings",
+        _HOLDOUT,
+    ),
+)
+def als_predict_check(spark, sf_dir):
+    rows = holdout_fit(spark, sf_dir)[1]
+    return rows.select("user_id", "item_id", "rating", _finite("prediction").alias("finite"))
 
 
 @query(
@@ -233,11 +250,22 @@ def rmse(spark, sf_dir):
     return rmse_of(predicted(spark, sf_dir)).withColumn("rmse", F.round("rmse", 6))
 
 
-@query("als_cv")
-def als_cv(spark, sf_dir):
+def _cv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.cv_report(cross_validation(spark, sf_dir).predictions, stored_folds(spark, sf_dir))
 
 
+@query(
+    "als_cv_check",
+    sql(
+        "SELECT variant, fold, count(*) AS n_test, true AS finite FROM v_folded, (VALUES ('default'), ('compact')) v(variant) GROUP BY 1, 2",
+        "v_ratings",
+        "v_folded",
+    ),
+)
+def als_cv_check(spark, sf_dir):
+    return _cv_report(spark, sf_dir).select("variant", "fold", "n_test", _finite("rmse").alias("finite"))
+
+
 @query(
     "als_cv_coverage",
     sql(
@@ -252,7 +280,7 @@ def als_cv(spark, sf_dir):
 )
 def als_cv_coverage(spark, sf_dir):
     """How many test rows each fit scores: those whose user and item occur in the training part."""
-    return als_cv(spark, sf_dir).drop("rmse")
+    return _cv_report(spark, sf_dir).drop("rmse")
 
 
 _VARIANTS = """v_variants AS (
@@ -286,30 +314,85 @@ def group_rmse(spark, sf_dir):
     return recommend.group_rmse(variants, activity).withColumn("rmse", F.round("rmse", 6))
 
 
-@query("group_rmse_long")
-def group_rmse_long(spark, sf_dir):
+@query(
+    "group_rmse_long_check",
+    sql(
+        """SELECT variant, fold, grp, true AS finite
+           FROM (SELECT DISTINCT fold, grp FROM v_groups), (VALUES ('default'), ('compact')) v(variant)""",
+        "v_ratings",
+        "v_folded",
+        _GROUPS,
+    ),
+)
+def group_rmse_long_check(spark, sf_dir):
     activity = recommend.training_activity(stored_folds(spark, sf_dir), K)
     report = recommend.group_rmse(cross_validation(spark, sf_dir).predictions, activity)
-    return recommend.rmse_long(report)
+    return recommend.rmse_long(report).select("variant", "fold", "grp", _finite("rmse").alias("finite"))
 
 
-@query("recommend_users")
-def recommend_users(spark, sf_dir):
-    return recommend.recommend_users(holdout_fit(spark, sf_dir)[0], 5)
+def _in_order(rows: DataFrame, key: str, other: str, known: DataFrame) -> DataFrame:
+    """Keys and ranks of recommendations, whether scores fall, and whether the other side was in the fit."""
+    before = F.lag("score").over(Window.partitionBy(key).orderBy("rank"))
+    seen = known.select(F.col("id").alias(other), F.lit(True).alias("known"))
+    return (
+        rows.withColumn("falling", F.coalesce(F.col("score") <= before, _finite("score")))
+        .join(seen, other, "left")
+        .select(key, "rank", "falling", F.coalesce("known", F.lit(False)).alias("known"))
+    )
 
 
-@query("recommend_item_subset")
-def recommend_item_subset(spark, sf_dir):
+@query(
+    "recommend_users_check",
+    sql(
+        """SELECT user_id, CAST(r AS INTEGER) AS rank, true AS falling, true AS known
+           FROM (SELECT DISTINCT user_id FROM v_holdout WHERE NOT in_test), range(1, 6) AS t(r)
+           WHERE r <= (SELECT count(DISTINCT item_id) FROM v_holdout WHERE NOT in_test)""",
+        "v_ratings",
+        _HOLDOUT,
+    ),
+)
+def recommend_users_check(spark, sf_dir):
+    model = holdout_fit(spark, sf_dir)[0]
+    return _in_order(recommend.recommend_users(model, 5), "user_id", "item_id", model.itemFactors)
+
+
+@query(
+    "recommend_item_subset_check",
+    sql(
+        """SELECT item_id, CAST(r AS INTEGER) AS rank, true AS falling, true AS known
+           FROM (SELECT DISTINCT item_id FROM v_ratings ORDER BY 1 LIMIT 3), range(1, 11) AS t(r)
+           WHERE item_id IN (SELECT item_id FROM v_holdout WHERE NOT in_test)
+             AND r <= (SELECT count(DISTINCT user_id) FROM v_holdout WHERE NOT in_test)""",
+        "v_ratings",
+        _HOLDOUT,
+    ),
+)
+def recommend_item_subset_check(spark, sf_dir):
+    model = holdout_fit(spark, sf_dir)[0]
     items = ranking.limit_sample(distinct_items_of(views.ratings(spark, sf_dir)), ["item_id"], 3)
-    return recommend.recommend_items(holdout_fit(spark, sf_dir)[0], items, 10)
+    return _in_order(recommend.recommend_items(model, items, 10), "item_id", "user_id", model.userFactors)
 
 
 # Clusters and tags
 
 
-@query("cluster_item_factors")
-def cluster_item_factors(spark, sf_dir):
-    return cl.largest(clusters_by_fold(spark, sf_dir), 10, by="fold").select("fold", "size_rank", "n_items")
+@query(
+    "cluster_item_factors_check",
+    sql(
+        """SELECT f.fold, count(DISTINCT item_id) AS n_items, true AS ranks_follow_sizes
+           FROM v_folded JOIN (SELECT DISTINCT fold FROM v_folded) f ON v_folded.fold <> f.fold GROUP BY 1""",
+        "v_ratings",
+        "v_folded",
+    ),
+)
+def cluster_item_factors_check(spark, sf_dir):
+    """Items of all clusters of each fold, and whether the ranks 1 to 10 follow the sizes."""
+    ranked = cl.largest(clusters_by_fold(spark, sf_dir), 10, by="fold")
+    sizes = F.transform(F.sort_array(F.collect_list(F.struct("size_rank", "n_items"))), lambda x: x.n_items)
+    falling = sizes == F.sort_array(sizes, asc=False)
+    return ranked.groupBy("fold").agg(
+        F.sum("n_items").alias("n_items"), (falling & (F.max("size_rank") <= 10)).alias("ranks_follow_sizes")
+    )
 
 
 @query(
@@ -372,6 +455,67 @@ def cluster_top_bottom_tags(spark, sf_dir):
     return cl.top_bottom_tags(sums, views.tags(spark, sf_dir), clusters=chosen)
 
 
+@query(
+    "fold_cluster_tags_check",
+    sql(
+        """SELECT fold, CAST(s AS INTEGER) AS size_rank, place, true AS is_sum_of_items
+           FROM (SELECT DISTINCT fold FROM v_folded), range(1, 3) AS r(s), (VALUES ('top'), ('bottom')) p(place)""",
+        "v_ratings",
+        "v_folded",
+    ),
+)
+def fold_cluster_tags_check(spark, sf_dir):
+    """The places of each fold's two largest clusters, and whether a score is the sum over the cluster's items."""
+    clusters, scores = clusters_by_fold(spark, sf_dir), views.tag_scores(spark, sf_dir)
+    found = folds.fold_tags(clusters, scores, views.tags(spark, sf_dir))
+    ranks = cl.largest(clusters, 2, by="fold").select("fold", "cluster", "size_rank")
+    again = (
+        clusters.join(ranks, ["fold", "cluster"])
+        .join(scores, "item_id")
+        .groupBy("fold", "size_rank", "tag_id")
+        .agg(F.sum("score").alias("again"))
+    )
+    same = F.abs(F.col("score") - F.coalesce("again", F.lit(0.0))) < 1e-6
+    return found.join(again, ["fold", "size_rank", "tag_id"], "left").select(
+        "fold", "size_rank", "place", same.alias("is_sum_of_items")
+    )
+
+
+# Whole results of the fits, which no other engine can recompute; the checks above hold what SQL can say of them.
+
+
+@query("als_predict")
+def als_predict(spark, sf_dir):
+    return holdout_fit(spark, sf_dir)[1].select("user_id", "item_id", "rating", "prediction")
+
+
+@query("als_cv")
+def als_cv(spark, sf_dir):
+    return _cv_report(spark, sf_dir)
+
+
+@query("group_rmse_long")
+def group_rmse_long(spark, sf_dir):
+    activity = recommend.training_activity(stored_folds(spark, sf_dir), K)
+    return recommend.rmse_long(recommend.group_rmse(cross_validation(spark, sf_dir).predictions, activity))
+
+
+@query("recommend_users")
+def recommend_users(spark, sf_dir):
+    return recommend.recommend_users(holdout_fit(spark, sf_dir)[0], 5)
+
+
+@query("recommend_item_subset")
+def recommend_item_subset(spark, sf_dir):
+    items = ranking.limit_sample(distinct_items_of(views.ratings(spark, sf_dir)), ["item_id"], 3)
+    return recommend.recommend_items(holdout_fit(spark, sf_dir)[0], items, 10)
+
+
+@query("cluster_item_factors")
+def cluster_item_factors(spark, sf_dir):
+    return cl.largest(clusters_by_fold(spark, sf_dir), 10, by="fold").select("fold", "size_rank", "n_items")
+
+
 @query("fold_cluster_tags")
 def fold_cluster_tags(spark, sf_dir):
     return folds.fold_tags(

@@ -115,14 +115,14 @@ SQL_VIEWS = {
           CAST(CASE WHEN event_id % 500 = 0 THEN NULL WHEN event_type = 'error' THEN 404 ELSE 200 END
                AS INTEGER) AS status,
           CAST(CASE WHEN event_id % 500 = 0 OR event_type = 'error' THEN NULL ELSE event_id % 5000 END
-               AS INTEGER) AS content_size
+               AS BIGINT) AS content_size
         FROM events""",
     "v_clean": f"""
         SELECT event_id,
           CASE WHEN user_id % 10 = 0 THEN '' ELSE 'host' || user_id || '.example.net' END AS host,
           'GET' AS method, {_PATH} AS endpoint, 'HTTP/1.0' AS protocol,
           CAST(CASE WHEN event_type = 'error' THEN 404 ELSE 200 END AS INTEGER) AS status,
-          CAST(CASE WHEN event_type = 'error' THEN 0 ELSE event_id % 5000 END AS INTEGER) AS content_size,
+          CAST(CASE WHEN event_type = 'error' THEN 0 ELSE event_id % 5000 END AS BIGINT) AS content_size,
           date_trunc('second', ts) AS time
         FROM events WHERE event_id % 500 <> 0""",
     "v_daily": """
@@ -133,7 +133,7 @@ SQL_VIEWS = {
           CAST(ceil(max(l_quantity) / 5) AS DOUBLE) / 2 AS rating
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey""",
     "v_folded": """
-        SELECT *, CAST(('0x' || substr(md5(user_id || '-' || item_id), 1, 8))::BIGINT % 5 AS INTEGER) AS fold
+        SELECT *, CAST(('0x' || substr(md5('folds-' || user_id || '-' || item_id), 1, 8))::BIGINT % 5 AS INTEGER) AS fold
         FROM v_ratings""",
     "v_pred": """
         SELECT *, 0.5::DOUBLE + ((user_id * 7 + item_id * 3) % 10) / 2.0::DOUBLE AS prediction FROM v_folded""",

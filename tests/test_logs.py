@@ -50,7 +50,7 @@ def test_fields_of_a_whole_line(parsed):
 def test_fields_without_a_match(parsed):
     assert parsed["dotless"]["host"] == ""
     assert parsed["no size"]["content_size"] is None and parsed["no size"]["status"] == 404
-    assert parsed["huge size"]["content_size"] is None
+    assert parsed["huge size"]["content_size"] == 99999999999
     for name in ("cut", "empty"):
         assert tuple(parsed[name])[1:] == ("", "", "", "", "", None, None)
     assert tuple(parsed["null"])[1:] == (None,) * 7
@@ -80,7 +80,7 @@ def test_rejects_and_filters(lines):
     assert names(logs.rejects(lines, keep=["name"])) == {"cut", "empty"}
     assert names(logs.lines_without_size(lines)) == {"no size", "cut", "empty"}
     parsed = logs.parse_clf(lines, keep=["name"])
-    assert names(logs.bad_rows(parsed)) == {"no size", "cut", "empty", "null", "huge size"}
+    assert names(logs.bad_rows(parsed)) == {"no size", "cut", "empty", "null"}
     assert names(logs.endpoint_contains(parsed, ".mpg")) == {"dotted"}
 
 
@@ -133,14 +133,79 @@ def test_profiles(lines):
     parsed = logs.parse_clf(lines)
     assert profile.shape(parsed).first() == (12, 7)
     nulls = profile.null_profile(parsed).first()
-    assert nulls["host"] == 1 and nulls["status"] == 3 and nulls["content_size"] == 5
+    assert nulls["host"] == 1 and nulls["status"] == 3 and nulls["content_size"] == 4
     described = {r["summary"]: r for r in profile.describe_cols(parsed, ["method", "status"]).collect()}
     assert set(described) == {"count", "mean", "stddev", "min", "max"}
     assert described["mean"]["method"] is None and described["max"]["status"] == "404"
     summary = profile.numeric_summary(logs.fill_content_size(parsed), "content_size").first()
-    assert summary["count_content_size"] == 12 and summary["max_content_size"] == 6245
+    assert summary["count_content_size"] == 12 and summary["max_content_size"] == 99999999999
 
 
 def test_no_python_worker_in_the_log_plans(lines):
     plan = logs.clean_logs(logs.parse_clf(lines))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+# The plain forms of the patterns that the library writes for linear time.
+PLAIN = {
+    "host": (r"(^\S+\.[\S+\.]+\S+)\s", 1),
+    "method": (r"\"(\S+)\s(\S+)\s*(\S*)\"", 1),
+    "endpoint": (r"\"(\S+)\s(\S+)\s*(\S*)\"", 2),
+    "protocol": (r"\"(\S+)\s(\S+)\s*(\S*)\"", 3),
+}
+PLAIN_SPLIT = {"timestamp": r".* - - \[(.*)\].*", "request": r".*\"(.*)\".*"}
+
+
+def test_patterns_equal_their_plain_forms(spark):
+    import random
+
+    rng = random.Random(11)
+    alphabet = ['"', '"', " ", " ", ".", "a", "b1", "[", "]", " - - [", "\t", "GET", "/x"]
+    rows = [("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))),) for _ in range(20000)]
+    rows += [(line,) for line in LINES.values()]
+    df = spark.createDataFrame(rows, "value string")
+    plain = logs.parse_clf(df, keep=["value"]).select(
+        *(
+            (F.regexp_extract("value", pattern, group) == F.col(name)).alias(name)
+            for name, (pattern, group) in PLAIN.items()
+        )
+    )
+    split = logs.parse_clf_split(df.withColumn("line", F.col("value"))).select(
+        *((F.regexp_extract("line", p, 1) == F.col(name)).alias(name) for name, p in PLAIN_SPLIT.items())
+    )
+    for same in (plain, split):
+        wrong = same.agg(*[F.count_if(~F.col(c)).alias(c) for c in same.columns]).first()
+        assert set(wrong) == {0}, wrong
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "a." * 50_000,
+        "a." * 50_000 + " x",
+        '"GET /' + "x" * 100_000,
+        '"' * 100_000,
+        '" ' * 50_000,
+        '"a b' * 30_000,
+        " - - [" * 20_000,
+        "]" + " - - [" * 20_000,
+        "1 " * 50_000,
+        " 1" * 50_000 + "x",
+    ],
+    ids=range(10),
+)
+def test_long_broken_lines_take_linear_time(spark, line):
+    import time
+
+    df = spark.createDataFrame([(line,)], "value string")
+    start = time.time()
+    assert len(logs.parse_clf(df).collect()) == 1 and len(logs.parse_clf_split(df).collect()) == 1
+    assert time.time() - start < 8
+
+
+def test_zones_and_hosts_by_choice(spark):
+    df = spark.createDataFrame([('h1 - - [01/Jul/1995:00:00:01 +0200] "GET / HTTP/1.0" 200 3000000000',)], "value string")
+    plain, free = logs.parse_clf(df).first(), logs.parse_clf(df, any_zone=True, any_host=True).first()
+    assert (plain["host"], plain["timestamp"]) == ("", "")
+    assert (free["host"], free["timestamp"]) == ("h1", "01/Jul/1995:00:00:01 +0200")
+    assert logs.clean_logs(logs.parse_clf(df)).first()["content_size"] == 3000000000

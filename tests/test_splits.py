@@ -17,7 +17,7 @@ def pairs(spark):
 
 def test_folds_follow_the_hash_and_partition_the_rows(pairs):
     rows = splits.assign_folds(pairs, ["u", "i"], 5).collect()
-    assert all(r["fold"] == bucket(f"{r['u']}-{r['i']}", 5) for r in rows)
+    assert all(r["fold"] == bucket(f"folds-{r['u']}-{r['i']}", 5) for r in rows)
     sizes = {r["fold"]: r for r in splits.fold_sizes(splits.assign_folds(pairs, ["u", "i"], 5)).collect()}
     assert set(sizes) == set(range(5))
     assert sum(r["n_test"] for r in sizes.values()) == 2000
@@ -33,9 +33,9 @@ def test_training_part_is_the_rest(pairs):
 
 def test_sample_and_holdout(pairs):
     got = {r["i"] for r in splits.hash_sample(pairs, ["i"], 0.25).collect()}
-    assert got == {i for i in range(2000) if bucket(str(i), 100) < 25}
+    assert got == {i for i in range(2000) if bucket(f"sample-{i}", 100) < 25}
     parts = {r["part"]: r["n_rows"] for r in splits.split_counts(splits.holdout(pairs, ["i"], 0.2)).collect()}
-    assert parts["test"] == sum(bucket(str(i), 100) < 20 for i in range(2000))
+    assert parts["test"] == sum(bucket(f"holdout-{i}", 100) < 20 for i in range(2000))
     assert sum(parts.values()) == 2000
     with pytest.raises(ValueError):
         splits.hash_sample(pairs, ["i"], 0.001)
@@ -51,3 +51,14 @@ def test_random_forms(pairs):
 def test_keyed_splits_do_not_shuffle(pairs):
     plan = splits.holdout(splits.assign_folds(pairs, ["u", "i"]), ["u"])._jdf.queryExecution().executedPlan()
     assert "Exchange" not in plan.toString()
+
+
+@pytest.mark.parametrize("fraction", [0.01, 0.2])
+def test_sample_of_a_training_part_keeps_its_share(spark, fraction):
+    keys = spark.range(60000)
+    train = splits.holdout(keys, ["id"]).where("part = 'train'")
+    sample = splits.hash_sample(train, ["id"], fraction)
+    assert sample.count() == pytest.approx(48000 * fraction, rel=0.15)
+    for k in (3, 5):
+        sizes = [r["n_test"] for r in splits.fold_sizes(splits.assign_folds(sample, ["id"], k)).collect()]
+        assert len(sizes) == k and min(sizes) > 0.7 * sum(sizes) / k
