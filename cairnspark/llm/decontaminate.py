@@ -15,12 +15,14 @@ from cairnspark.llm.chars import expand
 from cairnspark.llm.text import bounded_batches, flat, lowered, mix, pieces, run_hashes, tokens
 from cairnspark.sources.tables import materialise
 
-#: Fixed masks over neighbouring words: 1 counts, 0 is ignored. Chosen by trial: with a fifth of the
-#: words substituted at random, one of them still fits in 99% of passages of 15 words.
-MASKS = ("10100100111", "1110001011", "101011011")
-_SHORTEST = min(map(len, MASKS))
+#: Fixed masks over neighbouring words: 1 counts, 0 is ignored. Wherever at most a fifth of six or
+#: more words are substituted, one of them fits: more than 15 words keep four equal neighbours, and for
+#: 15 and fewer every choice of words is tried in the tests.
+MASKS = ("1111", "11011")
 #: An item of fewer words than this is found only where it is the whole document.
 SHINGLE = 5
+#: The masks that items of ``SHINGLE`` words need besides, one word of theirs being substituted.
+_SHINGLE_MASKS = ("11101", "10111")
 
 
 @dataclass(frozen=True)
@@ -38,16 +40,18 @@ def _salted(codes: np.ndarray, salt: int) -> np.ndarray:
         return mix(codes + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def seeds(codes: np.ndarray, edges: np.ndarray, solid: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+def seeds(codes: np.ndarray, edges: np.ndarray, short: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Token number and hash of every seed within the rows ``codes[edges[i]:edges[i + 1]]``.
 
-    One seed for each mask and position, and one for each run of ``solid`` neighbouring words.
-    Lengths below ``SHINGLE`` give a seed only for rows of exactly that length.
+    Rows of ``SHINGLE`` words or more have one seed for each mask and position; shorter rows have one
+    seed, all their words, if ``short`` has their length. ``SHINGLE`` in ``short`` adds the masks of
+    items of that length.
     """
     sizes = np.diff(edges)
     found_at, found = [], []
-    for mask in (*MASKS, *("1" * n for n in solid)):
-        fits = np.where((sizes == len(mask)) | (len(mask) >= SHINGLE), np.maximum(sizes - len(mask) + 1, 0), 0)
+    for mask in (*MASKS, *(_SHINGLE_MASKS if SHINGLE in short else ()), *("1" * n for n in short if n < SHINGLE)):
+        whole = len(mask) < SHINGLE and mask not in MASKS
+        fits = np.where(sizes == len(mask), 1, 0) if whole else np.where(sizes >= SHINGLE, sizes - len(mask) + 1, 0)
         at = expand(edges[:-1], fits)
         value = np.full(len(at), len(mask), np.uint64)
         for i, counts in enumerate(mask):
@@ -71,12 +75,27 @@ def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes % np.uint64(bits)).astype(np.int64), (_salted(hashes, 77) % np.uint64(bits)).astype(np.int64)
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """Bounds of the stretch of greatest score: 1 for an equal word, -2 for another; the first one, if several."""
-    sums = np.append(0, np.cumsum(np.where(equal, 1, -2)))
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    return int(np.flatnonzero(sums[: end + 1] == low[end])[-1]), end
+def best_stretch(equal: np.ndarray, least: int = Settings.least_words, identity: float = Settings.identity) -> tuple[int, int]:
+    """Bounds of the stretch with most equal words among those of ``least`` words (all, if there are fewer) and ``identity``.
+
+    Of several the shortest, of these the first; (0, 0) if there is none.
+    """
+    least = min(least, len(equal))
+    sums = np.append(0, np.cumsum(equal))
+    over = sums - identity * np.arange(len(sums))
+    # The farthest start for each end: the first place where ``over`` is no higher than at the end.
+    ends = np.arange(least, len(sums))
+    starts = np.searchsorted(-np.minimum.accumulate(over), -over[ends] - 1e-9)
+    fits = starts <= ends - least
+    starts, ends = starts[fits], ends[fits]
+    if not least or not len(ends):
+        return 0, 0
+    count = sums[ends] - sums[starts]
+    starts, ends = starts[count == count.max()], ends[count == count.max()]
+    # Unequal words in front go, as long as enough words stay.
+    starts = np.minimum(np.searchsorted(sums, sums[starts], side="right") - 1, ends - least)
+    i = int(np.argmin(ends - starts))
+    return int(starts[i]), int(ends[i])
 
 
 def overlaps(
@@ -92,9 +111,10 @@ def overlaps(
 
     ``content`` is the MD5 of the document's text. Words are runs of letters, digits and non-ASCII
     characters, A-Z as a-z. Where a seed is shared, document and item are laid over each other at
-    that place; the best stretch (equal words 1, others -2) is an overlap if it spans
-    ``least_words`` words, or all of a shorter item, and ``identity`` of its words are equal. Per row
-    and item the overlap with most equal words is returned. Items of fewer than five words match
+    that place; a stretch is an overlap if it spans ``least_words`` words, or all of a shorter item, and
+    ``identity`` of its words are equal. Per row and item the overlap with most equal words is
+    returned. None is missed as long as ``identity`` is 0.8 or more and ``least_words`` five or more;
+    with lower settings those are found that share a seed. Items of fewer than five words match
     only a document of just these words; items and documents without words match nothing.
     Repeated documents give repeated rows, equal items one row each; ids may be null.
     """
@@ -148,29 +168,37 @@ def overlaps(
         .select("content", "item", (F.col("at") - F.col("item_at")).alias("shift"))
         .distinct()
     )
-    laid = hits.join(once.select("content", "words"), "content").join(
-        items.dropDuplicates(["item"]).select("item", F.col("words").alias("item_words")), "item"
+    size = lambda words: F.expr(f"octet_length({words}) div 8")
+    laid = (
+        hits.join(items.dropDuplicates(["item"]).select("item", F.col("words").alias("item_words")), "item")
+        .join(once.select("content", "words"), "content")
+        .withColumn("low", F.greatest(F.lit(0), -F.col("shift")))
+        .withColumn("item_size", size("item_words"))
+        .withColumn("high", F.least("item_size", size("words") - F.col("shift")))
+        # Only the words of the document that lie under the item go on.
+        .withColumn("words", F.expr("substring(words, int(8 * (low + shift) + 1), int(8 * (high - low)))"))
+        .withColumn("item_words", F.expr("substring(item_words, int(8 * low + 1), int(8 * (high - low)))"))
     )
 
+    sides = ["content", "item", "shift", "low", "item_size", "words", "item_words"]
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for content, item, shift, a, b in zip(
-                *(batch.column(c).to_pylist() for c in ("content", "item", "shift", "words", "item_words"))
-            ):
-                doc, own = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                low, high = max(0, -shift), min(len(own), len(doc) - shift)
-                equal = own[low:high] == doc[low + shift : high + shift]
-                start, end = best_stretch(equal)
-                n, n_equal = end - start, int(equal[start:end].sum())
-                if n >= min(settings.least_words, len(own)) and n_equal >= settings.identity * n:
-                    rows.append((content, item, n, n_equal, low + shift + start, low + start))
+            for content, item, shift, low, item_size, a, b in zip(*(batch.column(c).to_pylist() for c in sides)):
+                equal = np.frombuffer(a, np.uint64) == np.frombuffer(b, np.uint64)
+                least = min(settings.least_words, item_size)
+                if len(equal) < least or equal.sum() < settings.identity * least:
+                    continue
+                start, end = best_stretch(equal, least, settings.identity)
+                if start < end:
+                    rows.append((content, item, end - start, int(equal[start:end].sum()), low + shift + start, low + start))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 6, (pa.string(), pa.string(), *[pa.int64()] * 4))],
                 names=["content", "item", "n_words", "n_equal", "doc_word", "item_word"],
             )
 
-    checked = laid.select("content", "item", "shift", "words", "item_words").mapInArrow(
+    checked = laid.select(*sides).mapInArrow(
         verify, "content string, item string, n_words long, n_equal long, doc_word long, item_word long"
     )
     best = checked.groupBy("content", "item").agg(
@@ -187,12 +215,12 @@ def overlaps(
 
 
 def _short_lengths(items: DataFrame) -> tuple[int, ...]:
-    """Which numbers of words below the shortest mask occur among the items."""
+    """Which numbers of words up to ``SHINGLE`` occur among the items."""
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             sizes = np.unique(np.diff(_row_tokens(batch.column("text"))[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(sizes[(sizes > 0) & (sizes < _SHORTEST)].astype(np.int64))], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array(sizes[(sizes > 0) & (sizes <= SHINGLE)].astype(np.int64))], names=["n"])
 
     return tuple(sorted(r["n"] for r in items.mapInArrow(lengths, "n long").distinct().collect()))
 
@@ -205,7 +233,6 @@ def _items(benchmark: DataFrame, short: tuple[int, ...]) -> DataFrame:
             codes, edges = _row_tokens(batch.column("text"))
             rows = np.flatnonzero(np.diff(edges))
             words = [codes[edges[r] : edges[r + 1]] for r in rows]
-            # An item shorter than every mask has one seed, all its words.
             each = [seeds(w, np.array([0, len(w)]), (len(w),) if len(w) in short else ()) for w in words]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -1,3 +1,4 @@
+import itertools
 import re
 
 from cairnspark.llm import decontaminate
@@ -70,3 +71,50 @@ def test_empty_tables(spark):
     assert decontaminate.overlaps(docs.where("false"), items).collect() == []
     assert decontaminate.overlaps(docs, items.where("false")).collect() == []
     assert len(decontaminate.overlaps(docs, items).collect()) == 1
+
+
+def every_stretch(equal, least):
+    """Most equal words of any stretch of ``least`` words or more of which four fifths are equal; 0 if there is none."""
+    sizes = ((sum(equal[i:j]), j - i) for i in range(len(equal)) for j in range(i + max(1, least), len(equal) + 1))
+    return max((n for n, size in sizes if 5 * n >= 4 * size), default=0)
+
+
+def test_best_stretch_equals_every_stretch(rng):
+    for _ in range(3000):
+        n = rng.randint(1, 30)
+        equal, least = [rng.random() < 0.75 for _ in range(n)], rng.randint(5, 13)
+        start, end = decontaminate.best_stretch(decontaminate.np.array(equal), least)
+        assert sum(equal[start:end]) == every_stretch(equal, min(least, n))
+        assert start == end == 0 or (end - start >= min(least, n) and 5 * sum(equal[start:end]) >= 4 * (end - start))
+
+
+def test_a_seed_fits_whichever_fifth_is_substituted():
+    for n in range(decontaminate.SHINGLE, 16):
+        own = decontaminate.np.arange(1, n + 1).astype("uint64")
+        short = (n,) if n == decontaminate.SHINGLE else ()
+        edges = decontaminate.np.array([0, n])
+        seeds = set(zip(*(x.tolist() for x in decontaminate.seeds(own, edges, short))))
+        for changed in itertools.combinations(range(n), n // 5):
+            other = own.copy()
+            other[list(changed)] += decontaminate.np.uint64(100)
+            assert seeds & set(zip(*(x.tolist() for x in decontaminate.seeds(other, edges, short)))), (n, changed)
+
+
+def test_finds_short_items_wherever_a_word_is_substituted(spark):
+    docs, items = [], []
+    for n in (5, 6, 8, 9, 10, 12, 13, 15, 20):
+        own = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(own)))
+        for k in range(n):
+            inside = [*own[:k], "changed", *own[k + 1 :]]
+            docs.append((100 * n + k, f"some words before {' '.join(inside)} and some behind"))
+    docs.append((1, "i10w0 x i10w2 i10w3 i10w4 y z i10w7 i10w8 i10w9"))
+    rows = decontaminate.overlaps(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    want = {}
+    for n, own in items:
+        for k in range(n):
+            longest = every_stretch([i != k for i in range(n)], min(13, n))
+            want[100 * n + k, n] = longest
+    assert {(r.doc_id, r.item_id): r.n_equal for r in rows} == want
