@@ -325,13 +325,26 @@ def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     return base, sorted(found, key=lambda s: (s[0], s[2], s[1]))
 
 
-def fit(documents: DataFrame, text: str = "text", sample_rows: int = 400) -> Field:
-    """Learn the field from at most ``sample_rows`` texts with a digit or @, chosen by their hash.
+def training_texts(documents: DataFrame, text: str = "text", sample_rows: int = 400) -> DataFrame:
+    """(text): at most ``sample_rows`` distinct texts with a digit or @, those with a base span first, by their hash.
 
-    A table without any base span gives a field that adds nothing.
+    Only hashes are compared; then the chosen texts are read, copies of one as one row a task.
     """
-    rows = documents.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    sample = rows.orderBy(F.xxhash64("text"), "text").limit(sample_rows)
+    bounded_batches(documents.sparkSession)
+    rows = documents.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("hash", F.xxhash64("text"))
+
+    @F.arrow_udf("boolean")
+    def marked(texts: pa.Array) -> pa.Array:
+        return pa.array([bool(base_spans(value.as_py())) for value in texts], pa.bool_())
+
+    known = rows.select("hash", marked("text").alias("marked")).distinct()
+    chosen = known.orderBy(F.desc("marked"), "hash").limit(sample_rows).select("hash").distinct()
+    return rows.join(F.broadcast(chosen), "hash").groupBy("hash").agg(F.min("text").alias("text")).select("text")
+
+
+def fit(documents: DataFrame, text: str = "text", sample_rows: int = 400) -> Field:
+    """Learn the field from the ``training_texts``; a table without any base span gives a field that adds nothing."""
+    sample = training_texts(documents, text, sample_rows)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t for batch in batches for t in batch.column("text").to_pylist()]

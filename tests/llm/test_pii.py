@@ -114,3 +114,14 @@ def test_operator(spark, field):
     assert pii.find(docs.where("false"), field).collect() == []
     assert not pii.fit(docs.where("false")).trained
     assert not pii.fit(spark.createDataFrame([("no 1 here",)], "text string")).trained
+
+
+def test_copies_of_a_text_do_not_fill_the_training_texts(spark):
+    texts = [f"no {i} here" for i in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    lowest = rows.selectExpr("text", "xxhash64(text) as hash").orderBy("hash").head().text
+    told = [f"write to ab{i}@mail.example.com, or call {i}" for i in range(4)]
+    docs = spark.createDataFrame([(t,) for t in [lowest] * 40 + told * 3 + texts], "text string").repartition(3)
+    got = [r.text for r in pii.training_texts(docs, sample_rows=10).collect()]
+    assert len(got) == len(set(got)) == 10 and set(told) <= set(got) and lowest in got
+    assert pii.fit(docs, sample_rows=10).trained
