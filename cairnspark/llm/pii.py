@@ -95,14 +95,13 @@ class Field:
 def islands(text: str) -> Iterator[list[tuple[int, int]]]:
     """Runs of word bounds that an entity can touch: words with a digit or @, and one word around them.
 
-    All words of an entity have a digit or @, so every other word is "no entity" for sure. A run is
-    cut after 64 words, which bounds the work for a text of numbers only.
+    All words of an entity have a digit or @, so every other word is "no entity" for sure.
     """
     words = [m.span() for m in _WORD.finditer(text)]
     done, run = 0, []
     for i in [i for i, (a, b) in enumerate(words) if _HINT.search(text, a, b)]:
         low, high = max(done, i - 1), min(len(words), i + 2)
-        if run and (low > done or len(run) >= 64):
+        if run and low > done:
             yield run
             run = []
         run += words[low:high]
@@ -157,6 +156,16 @@ def segment_features(text: str, words: list[tuple[int, int]], i: int, j: int) ->
     return [zlib.crc32(x.encode()) % _FEATURES for x in names]
 
 
+def training_parts(words: list[tuple[int, int]], spans: list[Span], least: int = 64) -> Iterator[list[tuple[int, int]]]:
+    """An island in parts of ``least`` words or a few more, cut where no span goes across; decoding needs no parts."""
+    start = 0
+    for i in range(least, len(words)):
+        if i - start >= least and not any(a < words[i - 1][1] and words[i][0] < b for a, b, _ in spans):
+            yield words[start:i]
+            start = i
+    yield words[start:]
+
+
 def _candidates(text: str, words: list[tuple[int, int]]) -> dict[tuple[int, int], np.ndarray]:
     """Features of each segment; none for a word that can only be "no entity"."""
     hint = [bool(_HINT.search(text, a, b)) for a, b in words]
@@ -184,22 +193,28 @@ def _scores(field: Field, candidates: dict) -> dict[tuple[int, int], np.ndarray]
 
 def decode(field: Field, text: str, words: list[tuple[int, int]]) -> list[Span]:
     """Entities of the best segmentation of an island, boundaries and kinds chosen together."""
-    scores = _scores(field, _candidates(text, words))
+    hint = [bool(_HINT.search(text, a, b)) for a, b in words]
     n = len(words)
     best = np.full((n + 1, _TYPES), -np.inf)
     best[0, 0] = 0
-    back: dict[tuple[int, int], tuple[int, int]] = {}
+    # Words and type before; features are dropped at once, so a long island takes a few bytes a word.
+    size, come_from = np.zeros((n + 1, _TYPES), np.int8), np.zeros((n + 1, _TYPES), np.int8)
     for j in range(1, n + 1):
         for i in range(max(0, j - LONGEST), j):
-            if (i, j) in scores:
-                come = best[i][None, :] + field.follow  # type, type before
-                value = scores[i, j] + come.max(axis=1)
-                for t in np.flatnonzero(value > best[j]).tolist():
-                    best[j, t] = value[t]
-                    back[j, t] = i, int(come[t].argmax())
+            if all(hint[i:j]):
+                at = np.array(segment_features(text, words, i, j))
+            elif i == j - 1:
+                at = np.zeros(0, np.int64)
+            else:
+                continue
+            come = best[i][None, :] + field.follow  # type, type before
+            value = _scores(field, {(i, j): at})[i, j] + come.max(axis=1)
+            for t in np.flatnonzero(value > best[j]).tolist():
+                best[j, t] = value[t]
+                size[j, t], come_from[j, t] = j - i, come[t].argmax()
     spans, j, t = [], n, int(best[n].argmax())
     while j:
-        i, before = back[j, t]
+        i, before = j - int(size[j, t]), int(come_from[j, t])
         if t:
             spans.append((*trimmed(text, words[i][0], words[j - 1][1]), t - 1))
         j, t = i, before
@@ -293,7 +308,7 @@ def train(texts: list[str], epochs: int = 3, rate: float = 0.3) -> Field:
     for text in texts:
         spans = base_spans(text)
         for told, marked in ((text, spans), *([_rewritten(text, spans, rng)] if spans else []), *((_negatives(rng), []) for _ in range(6))):
-            for words in islands(told):
+            for words in (part for island in islands(told) for part in training_parts(island, marked)):
                 gold = gold_segments(marked, told, words)
                 if gold:
                     examples.append((_candidates(told, words), gold, len(words)))

@@ -125,3 +125,17 @@ def test_copies_of_a_text_do_not_fill_the_training_texts(spark):
     got = [r.text for r in pii.training_texts(docs, sample_rows=10).collect()]
     assert len(got) == len(set(got)) == 10 and set(told) <= set(got) and lowest in got
     assert pii.fit(docs, sample_rows=10).trained
+
+
+def test_long_islands_are_decoded_whole(field):
+    assert [len(run) for run in pii.islands("7 " * 1000)] == [1000]
+    for k in range(58, 70):
+        text = "2024-01-05 " * k + "(555) 123-4567" + " 2024-01-05" * 5
+        assert (11 * k, 11 * k + 14, 3) in pii.all_spans(text, field)[1], k
+
+
+def test_training_parts_keep_spans_whole():
+    text = "7 " * 200
+    words = next(iter(pii.islands(text)))
+    parts = list(pii.training_parts(words, [(126, 131, 3)]))
+    assert [w for part in parts for w in part] == words and [len(p) for p in parts] == [66, 64, 64, 6]
