@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Groups of keys used to find the cut among keys of one level; also the expected size of the
-# sorted key list that is compared with each of those keys.
-KEY_SLICES = 256
+from cairnspark.sources.tables import materialise
+
+# Sampled keys used to find the cut of a share: the slice with the cut holds about this part of all keys.
+KEY_SLICES = 4096
 
 
 def endpoint_counts(df: DataFrame, key: str = "endpoint") -> DataFrame:
@@ -69,70 +70,81 @@ def extreme_share(
     """The floor(``share`` × keys) keys with the most (fewest) counts; equal counts go by key, ascending.
 
     ``counts`` has one row per key, or per (``by``, key) where ``by`` has few values, such as a fold.
-    No step sorts the keys as a whole or brings them to the driver or one task:
+    It is written once to shared storage, as it is read twice; use ``share_of_stored`` if it is a table.
+
+    A NULL key is a key like any other, the last one of its count. Rows with a NULL ``by`` or count are left out.
+    """
+    return share_of_stored(materialise(counts, "counts"), share, largest, key, count, by, slices)
+
+
+def share_of_stored(
+    counts: DataFrame,
+    share: float = 0.1,
+    largest: bool = True,
+    key: str = "user_id",
+    count: str = "n_ratings",
+    by: str | None = None,
+    slices: int = KEY_SLICES,
+) -> DataFrame:
+    """``extreme_share`` of a stored table, in two passes over it and without a sort of all keys.
 
-    1. A histogram of the counts shows which levels are taken, and how many keys of the last one.
-    2. The keys of that level are divided by sampled keys into about ``slices`` ranges; the sizes
-       of the ranges show which one holds the last wanted key.
-    3. Only that range is sorted, and yields the last wanted key.
+    1. A sample of about ``slices`` rows, by the hash of the key, and the number of keys of each
+       ``by``. The sampled (count, key) pairs are quantiles: those five standard deviations below
+       and above the share enclose the cut, those in between divide the enclosed keys into slices.
+    2. The rows up to the upper bound, about the share, are written with their slice.
 
-    The sample is a hash rule, not random, so every step sees the same ranges. The steps read
-    ``counts`` several times; if it is an aggregation, Spark runs its shuffle once. Numbers of rows
-    have at most sqrt(2 N) levels for N counted rows; the histogram is joined without a hint, so
-    other measures with more levels are right too. What is broadcast is one row per cut level, or
-    about ``slices`` keys for it.
+    The sizes of the slices show which one holds the last wanted key, and only that one is sorted.
+    Should the cut lie beyond the upper bound after all, pass 2 runs again without it.
 
-    A NULL key is a key like any other, the last one of its level. Rows with a NULL ``by`` are left out.
+    What is broadcast is the sample, or one row per slice: bounded by ``slices``, not by the data.
     """
-    group = [by] if by else []
-    level = [*group, count]
-    rows = counts.dropna(subset=group) if group else counts
-
-    # 1. levels taken
-    most_first = F.col(count).desc() if largest else F.col(count)
-    whole = Window.partitionBy(*group)
-    upto = whole.orderBy(most_first).rowsBetween(Window.unboundedPreceding, 0)
-    levels = (
-        rows.groupBy(*level)
-        .agg(F.count(F.lit(1)).alias("_have"))
-        .withColumn("_wanted", F.floor(F.sum("_have").over(whole) * F.lit(float(share))))
-        .withColumn("_need", F.col("_wanted") - (F.sum("_have").over(upto) - F.col("_have")))
-        .where(F.col("_need") > 0)
-        .select(*level, "_have", "_need")
-    )
-    rows = rows.join(levels, level)
-    divided = rows.where((F.col("_need") < F.col("_have")) & F.col(key).isNotNull())
-
-    # 2. range of the last wanted key
-    stride = F.ceil(F.col("_have") / slices)
-    bounds = (
-        divided.where(F.pmod(F.xxhash64(key), stride) == 0)
-        .groupBy(*level)
-        .agg(F.sort_array(F.collect_set(key)).alias("_bounds"))
-    )
-    lower = F.filter("_bounds", lambda bound: bound <= F.col(key))
-    sliced = divided.join(F.broadcast(bounds), level, "left").select(
-        *level, key, "_need", F.coalesce(F.array_size(lower), F.lit(0)).alias("_slice")
+    columns, n = counts.columns, counts.count()  # the files' footers hold the count
+    group = by or "_all"
+    rows = counts.dropna(subset=[count, *([by] if by else [])])
+    if not by:
+        rows = rows.withColumn(group, F.lit(0))
+    # A pair of structs compares field by field; isnull puts a NULL key behind the others.
+    at = F.struct((-F.col(count) if largest else F.col(count)).alias("n"), F.isnull(key).alias("last"), F.col(key).alias("key"))
+    sampled = F.pmod(F.xxhash64(key, F.lit("share")), F.lit(max(1, n // slices))) == 0
+    middle = F.col("_take") / F.col("_n")
+    spread = 5 * F.sqrt(F.size("_sample") * middle * (1 - middle)) + 5
+    first = F.greatest(F.floor(middle * F.size("_sample") - spread), F.lit(0)).cast("int")
+    last = F.ceil(middle * F.size("_sample") + spread).cast("int")
+    marks = (
+        rows.groupBy(group)
+        .agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(F.when(sampled, at))).alias("_sample"))
+        .withColumn("_take", F.floor(F.col("_n") * F.lit(float(share))))
+        .where("_take > 0")
+        .select(
+            group,
+            "_take",
+            F.slice("_sample", first + 1, last - first + 1).alias("_bounds"),
+            (last >= F.size("_sample")).alias("_open"),
+        )
     )
-    upto = Window.partitionBy(*level).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    last_range = (
-        sliced.groupBy(*level, "_slice", "_need")
+    marks = materialise(marks, "share-marks")
+
+    def candidates(bounded: bool) -> DataFrame:
+        below = F.when(at < F.get("_bounds", F.lit(0)), 0).otherwise(F.size(F.filter("_bounds", lambda b: b <= at)))
+        found = rows.join(F.broadcast(marks), group)
+        if bounded:
+            found = found.where(F.col("_open") | (at < F.try_element_at("_bounds", F.lit(-1))))
+        return materialise(found.select(*rows.columns, "_take", below.alias("_slice")), "share-candidates")
+
+    found = candidates(bounded=True)
+    enough = found.groupBy(group).agg((F.count(F.lit(1)) >= F.max("_take")).alias("enough"))
+    if marks.join(enough, group, "left").where(~F.coalesce("enough", F.lit(False))).limit(1).count():
+        found = candidates(bounded=False)
+
+    upto = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = (
+        found.groupBy(group, "_slice", "_take")
         .agg(F.count(F.lit(1)).alias("_have"))
-        .withColumn("_nth", F.col("_need") - (F.sum("_have").over(upto) - F.col("_have")))
-        .where((F.col("_nth") > 0) & (F.col("_nth") <= F.col("_have")))
-        .select(*level, "_slice", "_nth")
-    )
-
-    # 3. the last wanted key
-    position = F.row_number().over(Window.partitionBy(*level).orderBy(key))
-    last = (
-        sliced.join(F.broadcast(last_range), [*level, "_slice"])
-        .withColumn("_position", position)
-        .where(F.col("_position") == F.col("_nth"))
-        .select(*level, F.col(key).alias("_last"))
-    )
-    return (
-        rows.join(F.broadcast(last), level, "left")
-        .where((F.col("_need") >= F.col("_have")) | (F.col(key) <= F.col("_last")))
-        .select(*counts.columns)
+        .withColumn("_nth", F.col("_take") - (F.sum("_have").over(upto) - F.col("_have")))
+        .where("_nth > 0")
+        .drop("_take")
     )
+    placed = found.join(F.broadcast(sizes), [group, "_slice"])
+    position = F.row_number().over(Window.partitionBy(group, "_slice").orderBy(at))
+    cut = placed.where("_nth < _have").withColumn("_position", position).where("_position <= _nth")
+    return placed.where("_nth >= _have").select(*columns).unionByName(cut.select(*columns))

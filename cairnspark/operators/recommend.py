@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.operators.metrics import rmse
-from cairnspark.operators.ranking import extreme_share
+from cairnspark.operators.ranking import share_of_stored
 from cairnspark.operators.relational import union_all
 from cairnspark.operators.splits import SEED
-from cairnspark.sources.tables import ensure_checkpoint_dir, fresh_path, write_parquet
+from cairnspark.sources.tables import ensure_checkpoint_dir, fresh_path, materialise, write_parquet
 
 # Two settings that differ: the estimator's defaults, and a smaller model with a stronger penalty.
 VARIANTS = {"default": {"rank": 10, "reg": 0.1}, "compact": {"rank": 5, "reg": 0.2}}
@@ -135,13 +135,19 @@ def training_activity(folded: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
+GROUPS = {"hot": True, "cool": False}
+
+
 def activity_groups(activity: DataFrame, share: float = 0.1, by: str | None = "fold") -> DataFrame:
-    """(by, user_id, grp): the most (``hot``) and the least (``cool``) active users. A user may be in both."""
+    """(by, user_id, grp): the most (``hot``) and the least (``cool``) active users. A user may be in both.
+
+    ``activity`` is read four times and should be a stored table.
+    """
     keys = [by, "user_id"] if by else ["user_id"]
     return union_all(
         [
-            extreme_share(activity, share, largest, by=by).select(*keys, F.lit(name).alias("grp"))
-            for name, largest in (("hot", True), ("cool", False))
+            share_of_stored(activity, share, largest, by=by).select(*keys, F.lit(name).alias("grp"))
+            for name, largest in GROUPS.items()
         ]
     )
 
@@ -160,22 +166,37 @@ def group_rmse(
 ) -> DataFrame:
     """(by.., grp, n_scored, rmse) for hot and cool users, the groups taken from training ``activity``.
 
+    Every group of every fold of ``activity`` has a row for each combination of the other ``by``
+    columns in ``pred``: where none of its users has a scored row, ``n_scored`` is 0 and ``rmse``
+    NULL. Rows with a NULL in ``by`` are left out.
+
     Errors are summed per user before the join, so both sides of it hold one row per user (and
     variant, fold, group) and a very active user weighs no more than any other.
     """
     by = list(by)
-    keys = ["fold", "user_id"] if "fold" in by else ["user_id"]
+    fold = [c for c in by if c == "fold"]
+    others = [c for c in by if c != "fold"]
+    pred = pred.dropna(subset=by) if by else pred
     error = F.col("rating") - F.col("prediction")
     per_user = pred.groupBy(*by, "user_id").agg(
         F.count(error).alias("_n"), F.sum(error * error).alias("_sum")
     )
-    groups = activity_groups(activity, share, "fold" if "fold" in by else None)
-    return (
-        per_user.join(groups, keys)
+    activity = materialise(activity, "activity")
+    members = activity_groups(activity, share, "fold" if fold else None)
+    errors = (
+        per_user.join(members, [*fold, "user_id"])
         .groupBy(*by, "grp")
-        .agg(F.sum("_n").alias("n_scored"), F.sum("_sum").alias("_sum"))
-        .select(*by, "grp", "n_scored", F.sqrt(F.col("_sum") / F.col("n_scored")).alias("rmse"))
+        .agg(F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"))
     )
+    # The grid has a few rows for each fold: groups, and the settings found in one scalar query.
+    grid = activity.select(*fold).dropna().distinct() if fold else activity.limit(1).select()
+    if others:
+        settings = pred.select(*others).distinct().agg(F.collect_list(F.struct(*others))).scalar()
+        grid = grid.withColumn("_setting", F.explode(settings)).select(*fold, "_setting.*")
+    grid = grid.withColumn("grp", F.explode(F.array(*map(F.lit, GROUPS))))
+    n_scored = F.coalesce("_n", F.lit(0)).alias("n_scored")
+    root = F.when(F.col("_n") > 0, F.sqrt(F.col("_sum") / F.col("_n")))
+    return grid.join(errors, [*by, "grp"], "left").select(*by, "grp", n_scored, root.alias("rmse"))
 
 
 def rmse_long(report: DataFrame) -> DataFrame:

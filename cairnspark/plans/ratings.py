@@ -283,6 +283,13 @@ def als_cv_coverage(spark, sf_dir):
     return _cv_report(spark, sf_dir).drop("rmse")
 
 
+def _grid(*variants: str) -> str:
+    """Every variant, fold and group."""
+    names = ", ".join(f"('{v}')" for v in variants)
+    return f"""v_grid AS (SELECT variant, fold, grp FROM (SELECT DISTINCT fold FROM v_train),
+                          (VALUES {names}) v(variant), (VALUES ('hot'), ('cool')) g(grp))"""
+
+
 _VARIANTS = """v_variants AS (
     SELECT 'plain' AS variant, * FROM v_pred
     UNION ALL
@@ -292,14 +299,16 @@ _VARIANTS = """v_variants AS (
 @query(
     "group_rmse",
     sql(
-        """SELECT variant, fold, grp, count(*) AS n_scored,
+        """SELECT g.variant, g.fold, g.grp, count(rating) AS n_scored,
              round(sqrt(avg((rating - prediction) * (rating - prediction))), 6) AS rmse
-           FROM v_variants JOIN v_groups USING (fold, user_id) GROUP BY 1, 2, 3""",
+           FROM v_grid g LEFT JOIN (SELECT * FROM v_variants JOIN v_groups USING (fold, user_id)) v
+             ON v.variant = g.variant AND v.fold = g.fold AND v.grp = g.grp GROUP BY 1, 2, 3""",
         "v_ratings",
         "v_folded",
         "v_pred",
         _GROUPS,
         _VARIANTS,
+        _grid("plain", "turned"),
     ),
 )
 def group_rmse(spark, sf_dir):
@@ -317,17 +326,23 @@ def group_rmse(spark, sf_dir):
 @query(
     "group_rmse_long_check",
     sql(
-        """SELECT variant, fold, grp, true AS finite
-           FROM (SELECT DISTINCT fold, grp FROM v_groups), (VALUES ('default'), ('compact')) v(variant)""",
+        """SELECT g.variant, g.fold, g.grp, count(t.user_id) AS n_scored, true AS finite
+           FROM v_grid g LEFT JOIN (
+             SELECT t.fold, t.user_id, grp FROM v_folded t JOIN v_groups USING (fold, user_id)
+             WHERE EXISTS (SELECT 1 FROM v_folded i WHERE i.item_id = t.item_id AND i.fold <> t.fold)
+           ) t ON t.fold = g.fold AND t.grp = g.grp GROUP BY 1, 2, 3""",
         "v_ratings",
         "v_folded",
         _GROUPS,
+        _grid("default", "compact"),
     ),
 )
 def group_rmse_long_check(spark, sf_dir):
+    """How many rows each error covers; an error is a number where there are any, and NULL elsewhere."""
     activity = recommend.training_activity(stored_folds(spark, sf_dir), K)
     report = recommend.group_rmse(cross_validation(spark, sf_dir).predictions, activity)
-    return recommend.rmse_long(report).select("variant", "fold", "grp", _finite("rmse").alias("finite"))
+    finite = F.when(F.col("n_scored") > 0, _finite("rmse")).otherwise(F.col("rmse").isNull())
+    return report.select("variant", "fold", "grp", "n_scored", finite.alias("finite"))
 
 
 def _in_order(rows: DataFrame, key: str, other: str, known: DataFrame) -> DataFrame:

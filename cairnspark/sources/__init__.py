@@ -9,7 +9,7 @@ from cairnspark.sources.readers import (
     read_wide,
     wide_schema,
 )
-from cairnspark.sources.tables import fresh_path, materialise, write_parquet
+from cairnspark.sources.tables import fresh_path, materialise, release, scratch, write_parquet
 
 __all__ = [
     "RATINGS",
@@ -22,6 +22,8 @@ __all__ = [
     "read_tag_scores",
     "read_tags",
     "read_wide",
+    "release",
+    "scratch",
     "wide_schema",
     "write_parquet",
 ]

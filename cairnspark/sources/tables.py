@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _local_roots: dict[str, str] = {}
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def _shared_root(spark: SparkSession) -> str:
@@ -33,8 +36,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{_shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder, or under that of the ``scratch`` block, that no other run uses."""
+    return f"{_scratch.get() or _shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a table in shared storage; nothing happens if it is not there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside the block are deleted when it ends.
+
+    The block must hold the last read of them: write what shall stay to a path chosen before it.
+    Blocks may be nested; the setting does not pass to other threads.
+    """
+    path = fresh_path(spark, "scratch")
+    token = _scratch.set(path)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        release(spark, path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
@@ -48,14 +73,15 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
-def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write ``df`` once to shared storage and read it back.
+def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = (), path: str | None = None) -> DataFrame:
+    """Write ``df`` once to shared storage (a fresh path, if none is given) and read it back.
 
     Used where several jobs read one result: the table survives lost executors, and the plan of
-    the reader starts at the file instead of at the whole history.
+    the reader starts at the file instead of at the whole history. It stays until ``release``, or
+    until the end of the ``scratch`` block around the call.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     write_parquet(df, path, partition_by)
     # Partition values are part of the directory name; the given schema keeps their types.
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)

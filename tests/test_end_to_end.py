@@ -41,7 +41,11 @@ def test_ratings(spark, tmp_path):
     folded = materialise(rated, "folds", partition_by=["fold"])
     cv = recommend.als_cv(folded, max_iter=2, parallelism=4)
     report = recommend.group_rmse(cv.predictions, recommend.training_activity(folded)).collect()
-    assert len(report) == 20 and all(r["rmse"] > 0 for r in report)
+    assert len(report) == 20 and all(r["rmse"] > 0 if r["n_scored"] else r["rmse"] is None for r in report)
+    # In three folds every rating of the four hot users is in the training part.
+    assert sorted((r["variant"], r["fold"], r["grp"]) for r in report if not r["n_scored"]) == [
+        (variant, fold, "hot") for variant in ("compact", "default") for fold in (0, 2, 4)
+    ]
     found = folds.fold_clusters(cv.item_factors.where("variant = 'default'"), k=4, parallelism=4)
     named = folds.fold_tags(found, read_tag_scores(spark, str(scores)), read_tags(spark, str(tags))).collect()
     assert len(named) == 20 and {r["tag"] for r in named} <= {f"tag {t}" for t in range(4)}
