@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm import decontaminate, langid, lmscore, neighbours, pagetext, pii, quality, simhash, subwords, toxicity
+from cairnspark.llm import (
+    decontaminate,
+    langid,
+    lexical,
+    lmscore,
+    neighbours,
+    packing,
+    pagetext,
+    pii,
+    quality,
+    simhash,
+    spelling,
+    subwords,
+    toxicity,
+)
 from cairnspark.llm.text import part_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +134,59 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def word_vocabulary() -> str:
+    """Path of the installed vocabulary file; it is not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op11_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), word_vocabulary())
+    return placed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SEARCH_ORACLE = """
+WITH places AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM documents),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM benchmark),
+lengths AS (SELECT doc_id, count(*) AS n FROM places GROUP BY 1),
+corpus AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM places WHERE term IN (SELECT term FROM wanted) GROUP BY 1, 2),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counts, corpus GROUP BY 1),
+levels AS (SELECT doc_id, 10 + (90 * n * n_docs) // n_terms AS m FROM lengths, corpus),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM wanted JOIN counts USING (term) JOIN weights USING (term) JOIN levels USING (doc_id) GROUP BY 1, 2),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op13_ranked_search")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return lexical.search(documents.select("doc_id", "text"), items.select("item_id", "text"))
+
+
+ORACLES["op13_ranked_search"] = SEARCH_ORACLE.strip()
+
+
 LM_ORACLE = """
 WITH tokens AS (
   SELECT doc_id, regexp_extract_all(
