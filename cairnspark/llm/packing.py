@@ -8,6 +8,7 @@ which are alike, share sequences. The sorted tokens are one stream that is cut a
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.text import bounded_batches, mix, pieces, unique_counts
+from cairnspark.llm.text import bounded_batches, flat, lowered, mix, pieces, run_hashes, unique_counts
 from cairnspark.sources.tables import materialise
 
 
@@ -33,49 +34,164 @@ class Settings:
     most_parts: int = 50_000  #: beyond this number, parts grow instead
 
 
+#: Kinds of visible ASCII: letters, digits, others; 0 for blanks, controls and parts of other characters.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+#: How byte-level vocabularies write the bytes that are no visible Latin-1 character: from U+0100 on.
+_HIDDEN = [*range(33), *range(127, 161), 173]
+_BYTE_LEVEL = {byte: 256 + i for i, byte in enumerate(_HIDDEN)}
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+class _Known:
+    """Numbers of 64-bit hashes, by open addressing in one array."""
+
+    def __init__(self, hashes: np.ndarray, size: int):
+        self.hashes, self.n = np.zeros(size, np.uint64), 0
+        self.slots = np.full(1 << (2 * size).bit_length(), -1, np.int32)
+        self.add(hashes)
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Distinct hashes, none of them known; they get the next numbers."""
+        numbers = np.arange(self.n, self.n + len(hashes), dtype=np.int32)
+        self.hashes[numbers] = hashes
+        self.n += len(hashes)
+        slot = self._slot(hashes)
+        while len(numbers):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = numbers[free]
+            left = self.slots[slot] != numbers  # taken, or another one came to the same slot
+            numbers, slot = numbers[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 if it is not known."""
+        out = np.full(len(hashes), -1, np.int64)
+        left, slot = np.arange(len(hashes)), self._slot(hashes)
+        while len(left):
+            number = self.slots[slot]
+            same = (number >= 0) & (self.hashes[number] == hashes[left])
+            out[left[same]] = number[same]
+            on = (number >= 0) & ~same
+            left, slot = left[on], (slot[on] + 1) & (len(self.slots) - 1)
+        return out
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizer that drops white space and never joins across it.
+    """Ids of whole texts by a tokenizer that lower-cases, drops white space and never joins across it.
 
-    Text between ASCII white space is then encoded independently of its surroundings, so each such
-    word is encoded once and remembered, up to ``keep`` of them.
+    Such a tokenizer also ends a piece between ASCII characters of different kinds and after a digit,
+    but for letters behind an apostrophe. What stands between these places is encoded independently of
+    its surroundings, so each such word is encoded once and remembered by its 64-bit hash, up to
+    ``keep`` of them. Words of more than ``LONG`` bytes are not remembered. Texts that hold one of the
+    tokenizer's special strings are left to the library as a whole.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    LONG = 64
+
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self.known: dict[bytes, int] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.known.clear()
-        self.parts: list[np.ndarray] = []
-        self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [x.ids for x in found]
-        start = len(self.bounds) - 1
-        self.known.update(zip(words, range(start, start + len(words))))
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # The library's normaliser and splitter leave a word of small Latin letters as it is, and its
+        # byte level writes each byte as a character; the model alone is faster.
+        self.plain = re.compile("[a-zß-öø-ÿ]+").fullmatch
+        self.known = _Known(np.zeros(0, np.uint64), keep)
+        self.flat, self.bounds, self.asked = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the words that were asked for more than once, if they are less than half of all."""
+        keep = self.asked > 1
+        keep &= 2 * keep.sum() < len(keep)
+        sizes = np.diff(self.bounds)
+        self.known = _Known(self.known.hashes[: len(keep)][keep], self.keep)
+        self.flat = self.flat[np.repeat(keep, sizes)]
+        self.bounds = np.append(0, np.cumsum(sizes[keep]))
+        self.asked = np.zeros(self.known.n, np.int64)
+
+    def _ids(self, text: bytes) -> list[int]:
+        return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in one array, and their numbers."""
+        model, plain = self.tokenizer.model, self.plain
+        texts = [w.decode() for w in words]
+        ids = [
+            [x.id for x in model.tokenize(t if t.isascii() else w.decode("latin-1").translate(_BYTE_LEVEL))] if plain(t) else self._ids(w)
+            for w, t in zip(words, texts)
+        ]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(sizes))
-        self.flat = np.append(self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())))
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the n + 1 bounds of the texts."""
-        split = [(text or "").encode().split() for text in texts]
-        if len(self.known) > self.keep:
-            self.forget()
-        words = [w for text in split for w in text]
-        new = set(words) - self.known.keys()
-        if new:
-            self._learn(sorted(new))
-        where = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        first, size = self.bounds[where], self.bounds[where + 1] - self.bounds[where]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        per_text = np.cumsum([0, *map(len, split)])
-        return ids, np.append(0, ends)[per_text]
+        data, bounds = flat(texts)
+        small = lowered(data)
+        whole = small.tobytes()
+        if not any(mark in whole for mark in self.special):
+            return self._split(small, bounds)
+        parts, sizes, at = [], [], 0
+        special = [any(m in whole[a:b] for m in self.special) for a, b in zip(bounds[:-1], bounds[1:])]
+        while at < len(special):
+            if special[at]:
+                ids = np.array(self._ids(data[bounds[at] : bounds[at + 1]].tobytes()), np.uint32)
+                size, end = np.array([len(ids)]), at + 1
+            else:
+                end = next((i for i in range(at, len(special)) if special[i]), len(special))
+                ids, ends = self._split(small[bounds[at] : bounds[end]], bounds[at : end + 1] - bounds[at])
+                size = np.diff(ends)
+            parts.append(ids)
+            sizes.append(size)
+            at = end
+        return np.concatenate(parts), np.append(0, np.cumsum(np.concatenate(sizes)))
+
+    def _split(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cut = np.zeros(len(data) + 1, bool)
+        cut[bounds] = True
+        kind = _KIND[data]
+        before, after = kind[:-1], kind[1:]
+        over = (before > 0) & (after > 0) & ((before != after) | (before == 2))
+        cut[1:-1] |= over & ((data[:-1] != ord("'")) | (after != 1))
+        seen = np.concatenate([[False], ~_BLANK[data], [False]])
+        starts = np.flatnonzero(seen[1:-1] & (~seen[:-2] | cut[:-1]))
+        ends = np.flatnonzero(seen[1:-1] & (~seen[2:] | cut[1:])) + 1
+        hashes = run_hashes(data, starts, ends)
+        long = ends - starts > self.LONG
+
+        where = self.known.find(hashes)
+        new, first = np.unique(hashes[(where < 0) & ~long], return_index=True)
+        if self.known.n + len(new) > self.keep:
+            self._forget()
+            where = self.known.find(hashes)
+            new, first = np.unique(hashes[(where < 0) & ~long], return_index=True)
+        spelt = np.flatnonzero((where < 0) & ~long)[first]
+        once = np.flatnonzero(long)
+        ids, sizes = self._encode([data[starts[i] : ends[i]].tobytes() for i in np.append(spelt, once)])
+        flat_ids = np.append(self.flat, ids)
+        edges = np.append(self.bounds, self.bounds[-1] + np.cumsum(sizes))
+        where[once] = self.known.n + len(new) + np.arange(len(once))
+        if self.known.n + len(new) <= self.keep:
+            n_before = self.known.n
+            self.known.add(new)
+            fresh = (where < 0) & ~long
+            where[fresh] = n_before + np.searchsorted(new, hashes[fresh])
+            self.bounds = edges[: self.known.n + 1]
+            self.flat = flat_ids[: self.bounds[-1]]
+            self.asked = np.append(self.asked, np.zeros(len(new), np.int64))
+            self.asked += np.bincount(where[where < self.known.n], minlength=self.known.n)
+        else:  # more new words than may be kept: they serve this call only
+            fresh = (where < 0) & ~long
+            where[fresh] = self.known.n + np.searchsorted(new, hashes[fresh])
+        begin, size = edges[where], edges[where + 1] - edges[where]
+        stops = np.cumsum(size)
+        ids = flat_ids[np.repeat(begin - (stops - size), size) + np.arange(stops[-1] if len(stops) else 0)]
+        return ids, np.append(0, stops)[np.searchsorted(starts, bounds)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -159,7 +275,7 @@ def encoded(documents: DataFrame, path: str, settings: Settings) -> DataFrame:
         packer = zstandard.ZstdCompressor(level=1)
         next_row = TaskContext.get().partitionId() << 40
         for batch in pieces(batches, "text"):
-            ids, bounds = encoder(batch.column("text").to_pylist())
+            ids, bounds = encoder(batch.column("text"))
             keys = hilbert_keys(cells_of(coordinates(ids, bounds, settings, directions), settings.bits), settings.bits)
             row = np.arange(next_row, next_row + batch.num_rows)
             next_row += batch.num_rows

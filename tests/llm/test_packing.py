@@ -1,4 +1,7 @@
+from functools import lru_cache
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,10 +11,15 @@ from cairnspark.llm.queries import word_vocabulary
 SMALL = packing.Settings(length=64, chunk=100, part_tokens=700)
 
 
-def plain_ids(text):
+@lru_cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(word_vocabulary()).encode(text or "", add_special_tokens=False).ids + [2]
+    return Tokenizer.from_file(word_vocabulary())
+
+
+def plain_ids(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def rebuilt(rows):
@@ -42,12 +50,16 @@ def test_neighbours_on_the_curve_touch(dimensions, bits):
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
 
-def test_encoder_equals_the_library(prose):
+def test_encoder_equals_the_library(prose, rng):
     encoder = packing.Encoder(word_vocabulary(), keep=50)
-    texts = [prose(80), "", None, "  Don't\tSTOP now x\x1cy <|endoftext|>z été ́ ΣΑΣ Σ.", "a" * 3000, prose(300), "日本 x1"]
-    for _ in range(2):
-        ids, bounds = encoder(texts)
-        assert [ids[a:b].tolist() + [2] for a, b in zip(bounds[:-1], bounds[1:])] == [plain_ids(t) for t in texts]
+    texts = [prose(80), "", None, "  Don't\tSTOP now x\x1cy z été ́ ΣΑΣ Σ.", "a" * 3000, prose(300), "日本 x1"]
+    texts += ["A<|endoftext|>z <|ENDOFTEXT|> b", "I'll, you've 'san ,'s x'RE can't. 'r, it's1 a\x02b x y z", "Ab.́c d1̊ KK"]
+    pool = list("aBs'tre.,1 ́É\x02\x7f\x1f\n<|>")
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    texts += ["".join(map(chr, range(0xC0, 0x180))), " ".join(map(chr, range(0xA0, 0x250))), " ".join("a" + chr(c) + "z" for c in range(0x7F, 0x250))]
+    for kept in (texts, texts[:9], texts[2:]):
+        ids, bounds = encoder(pa.array(kept, pa.string()))
+        assert [ids[a:b].tolist() + [2] for a, b in zip(bounds[:-1], bounds[1:])] == [plain_ids(t) for t in kept]
 
 
 def test_every_token_lies_in_one_piece(spark, prose, rng):
