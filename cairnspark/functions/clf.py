@@ -13,9 +13,11 @@ HOST_PATTERN = r"^(?=\S++\s)(\S+\.\S{2,})\s"
 TIME_PATTERN = r"\[(\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2} -\d{4})]"
 # With ``+`` zones too; the plain pattern leaves their time out.
 ANY_ZONE_TIME_PATTERN = r"\[(\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4})]"
-# Request: if the first quote of a word begins no match, no later quote of that word does. The second
-# group is the whole word if the word after it has a quote, else what stands before its own last quote.
-REQUEST_PATTERN = r"(?<!\S)[^\s\"]*+\"(\S++)\s(\S++(?=\s++\S*\")|\S+(?=\"))\s*+(\S*)\""
+# Request, in two tiers. A well-formed line matches at its first quote, to which the first branch leads at once.
+# Where that fails, the second branch tries the words one by one: if the first quote of a word begins no match,
+# no later quote of that word does. The second group is the whole word if the word after it has a quote, else
+# what stands before its own last quote.
+REQUEST_PATTERN = r"(?:^[^\"]*|(?<!\S)[^\s\"]*+)\"(\S+)\s(\S+(?=\s+\S*\"|\"))\s*(\S*)\""
 STATUS_PATTERN = r"\s(\d{3})\s"
 SIZE_PATTERN = r"\s(\d+)$"
 

@@ -13,7 +13,7 @@ from cairnspark.operators.relational import union_all
 from cairnspark.plans import views
 from cairnspark.plans.registry import once, query
 from cairnspark.plans.views import N_FEATURES, sql
-from cairnspark.sources import fresh_path, materialise, read_wide
+from cairnspark.sources import fresh_path, materialise, read_checked, read_wide, wide_schema
 
 LABEL = f"_c{N_FEATURES}"
 INPUTS = [f"_c{i}" for i in range(N_FEATURES)]
@@ -92,6 +92,36 @@ def scan_wide_csv(spark, sf_dir):
     return read_wide(spark, path, N_FEATURES)
 
 
+@query(
+    "scan_wide_rejects",
+    """SELECT CASE WHEN label >= 5 THEN 1 ELSE -1 END AS label, NULL::VARCHAR AS ends, count(*) AS n_rows
+       FROM embeddings WHERE vec_id % 20 > 2 GROUP BY 1
+       UNION ALL
+       SELECT NULL, CASE vec_id % 20 WHEN 0 THEN 'one' WHEN 1 THEN 'short' ELSE 'long' END, count(*)
+       FROM embeddings WHERE vec_id % 20 <= 2 GROUP BY ALL""",
+)
+def scan_wide_rejects(spark, sf_dir):
+    """A wide file with broken lines: rows by label, rejected lines by their last value (word, feature, one too many)."""
+    wide = views.wide(spark, sf_dir)
+    values = [F.col(c).cast("string") for c in (*INPUTS, LABEL)]
+    kind = F.col("vec_id") % 20
+    line = F.concat_ws(",", *values)
+    lines = wide.select(
+        F.when(kind == 0, F.concat_ws(",", *values[:-1], F.lit("one")))
+        .when(kind == 1, F.concat_ws(",", *values[:-2], F.lit("short")))
+        .when(kind == 2, F.concat(line, F.lit(",long")))
+        .otherwise(line)
+        .alias("line")
+    )
+    path = fresh_path(spark, "broken-wide")
+    lines.write.text(path)
+    found = read_checked(spark, path, wide_schema(N_FEATURES), header=False)
+    rows = found.rows.groupBy(F.col(LABEL).alias("label")).agg(F.count(F.lit(1)).alias("n_rows"))
+    ends = F.substring_index("line", ",", -1).alias("ends")
+    rejects = found.rejects.groupBy(ends).agg(F.count(F.lit(1)).alias("n_rows"))
+    return rows.unionByName(rejects, allowMissingColumns=True).select("label", "ends", "n_rows")
+
+
 @query(
     "recode_label",
     "SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS _c64 FROM embeddings",

@@ -13,7 +13,17 @@ from cairnspark.operators.relational import union_all
 from cairnspark.plans import views
 from cairnspark.plans.registry import once, query
 from cairnspark.plans.views import sql
-from cairnspark.sources import fresh_path, materialise, read_ratings, read_tag_scores, read_tags
+from cairnspark.sources import (
+    RATINGS,
+    TAG_SCORES,
+    Checked,
+    fresh_path,
+    materialise,
+    read_checked,
+    read_ratings,
+    read_tag_scores,
+    read_tags,
+)
 
 KEYS = ["user_id", "item_id"]
 K = 5
@@ -84,6 +94,65 @@ def scan_tag_tables(spark, sf_dir):
     return cl.with_tag_names(read_tag_scores(spark, scores_path), read_tags(spark, tags_path))
 
 
+def _write_lines(lines: DataFrame, name: str, header: str | None = None) -> str:
+    """Text files of the lines, each file with the header, as another program would leave them."""
+    path = fresh_path(lines.sparkSession, name)
+    # One column, a separator that does not occur: no quotes are written.
+    lines.select(lines[lines.columns[0]].alias(header or "line")).write.option("header", header is not None).option("sep", "\x01").csv(path)
+    return path
+
+
+def _broken(key: Column, values: list[Column], at: int) -> Column:
+    """A CSV line; by its key one in 97 has a word as value ``at``, one lacks the last value, one has a value too many."""
+    line, short = F.concat_ws(",", *values), F.concat_ws(",", *values[:-1])
+    word = F.concat_ws(",", *[F.lit("many") if i == at else v for i, v in enumerate(values)])
+    kind = F.pmod(key, F.lit(97))
+    return F.when(kind == 0, word).when(kind == 1, short).when(kind == 2, F.concat(line, F.lit(",0"))).otherwise(line)
+
+
+def _both(found: Checked) -> DataFrame:
+    """Rows and reject lines in one table."""
+    rows = found.rows.select("*", F.lit(None).cast("string").alias("line"))
+    return rows.unionByName(found.rejects.select("line"), allowMissingColumns=True)
+
+
+def _broken_sql(key: str, values: list[str], at: int, view: str, types: list[str]) -> str:
+    """What ``_both`` has of a broken file: rows as they are, lines of the others."""
+    text = [f"CAST({v} AS VARCHAR)" for v in values]
+    word = " || ',' || ".join("'many'" if i == at else t for i, t in enumerate(text))
+    line = " || ',' || ".join(text)
+    nulls = ", ".join(f"CAST(NULL AS {t}) AS {v}" for v, t in zip(values, types))
+    return sql(
+        f"""SELECT {", ".join(values)}, CAST(NULL AS VARCHAR) AS line FROM {view} WHERE ({key}) % 97 > 2
+            UNION ALL
+            SELECT {nulls}, CASE ({key}) % 97 WHEN 0 THEN {word} WHEN 1 THEN {" || ',' || ".join(text[:-1])}
+              ELSE {line} || ',0' END FROM {view} WHERE ({key}) % 97 <= 2""",
+        view,
+    )
+
+
+@query(
+    "scan_ratings_rejects",
+    _broken_sql("user_id * 31 + item_id", ["user_id", "item_id", "rating"], 2, "v_ratings", ["INTEGER", "INTEGER", "DOUBLE"]),
+)
+def scan_ratings_rejects(spark, sf_dir):
+    """A ratings file with broken lines: what fits the schema, and the text of the rest."""
+    values = [F.col(c).cast("string") for c in ("user_id", "item_id", "rating")]
+    lines = views.ratings(spark, sf_dir).select(_broken(F.col("user_id") * 31 + F.col("item_id"), values, 2))
+    return _both(read_checked(spark, _write_lines(lines, "broken-ratings", "userId,movieId,rating"), RATINGS))
+
+
+@query(
+    "scan_tag_scores_rejects",
+    _broken_sql("item_id * 31 + tag_id", ["item_id", "tag_id", "score"], 1, "v_scores", ["INTEGER", "INTEGER", "DOUBLE"]),
+)
+def scan_tag_scores_rejects(spark, sf_dir):
+    """A file of tag scores with broken lines: what fits the schema, and the text of the rest."""
+    values = [F.col(c).cast("string") for c in ("item_id", "tag_id", "score")]
+    lines = views.tag_scores(spark, sf_dir).select(_broken(F.col("item_id") * 31 + F.col("tag_id"), values, 1))
+    return _both(read_checked(spark, _write_lines(lines, "broken-scores", "movieId,tagId,relevance"), TAG_SCORES))
+
+
 # Activity
 
 

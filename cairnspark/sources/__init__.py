@@ -2,6 +2,8 @@ from cairnspark.sources.readers import (
     RATINGS,
     TAG_NAMES,
     TAG_SCORES,
+    Checked,
+    read_checked,
     read_log,
     read_ratings,
     read_tag_scores,
@@ -15,8 +17,10 @@ __all__ = [
     "RATINGS",
     "TAG_NAMES",
     "TAG_SCORES",
+    "Checked",
     "fresh_path",
     "materialise",
+    "read_checked",
     "read_log",
     "read_ratings",
     "read_tag_scores",

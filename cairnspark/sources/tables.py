@@ -62,18 +62,23 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         release(spark, path)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
+def write_parquet(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite", rebalance: bool = True
+) -> None:
     """Write Parquet, optionally one directory per value of ``partition_by``.
 
     With partition columns the rows are first rebalanced on them: each directory gets few files,
-    and AQE splits a value that holds a large share of the rows over several tasks.
+    and AQE splits a value that holds a large share of the rows over several tasks. Without
+    ``rebalance`` nothing is shuffled, and each task writes a file for each of its values.
     """
-    if partition_by:
+    if partition_by and rebalance:
         df = df.hint("rebalance", *partition_by)
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
-def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = (), path: str | None = None) -> DataFrame:
+def materialise(
+    df: DataFrame, name: str, partition_by: Sequence[str] = (), path: str | None = None, rebalance: bool = True
+) -> DataFrame:
     """Write ``df`` once to shared storage (a fresh path, if none is given) and read it back.
 
     Used where several jobs read one result: the table survives lost executors, and the plan of
@@ -82,6 +87,6 @@ def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = (), path
     """
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
-    write_parquet(df, path, partition_by)
+    write_parquet(df, path, partition_by, rebalance=rebalance)
     # Partition values are part of the directory name; the given schema keeps their types.
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -89,3 +89,48 @@ def test_shared_folder_comes_from_the_session():
     local = session(None, "local[2]")
     one, two = sources.fresh_path(local, "x"), sources.fresh_path(local, "x")
     assert one != two and Path(one).parent == Path(two).parent
+
+
+def test_rejects_keep_their_text(spark, tmp_path):
+    one, two = tmp_path / "in" / "one.csv", tmp_path / "in" / "two.csv"
+    one.parent.mkdir()
+    one.write_text("userId,movieId,rating,timestamp\n1,2,3.5,99\n1,x,3.5,99\n\n4,5\n6,7,0.5,99,extra\n8,,1.5,\n")
+    two.write_text('userId,movieId,rating,timestamp\n9,10,"4.0",99\n9,10,"4,0",99\n99999999999,1,1,1\n')
+    found = sources.read_checked(spark, str(one.parent), sources.RATINGS)
+    assert found.rows.dtypes == [("user_id", "int"), ("item_id", "int"), ("rating", "double")]
+    assert sorted(tuple(r) for r in found.rows.collect()) == [(1, 2, 3.5), (8, None, 1.5), (9, 10, 4.0)]
+    assert sorted(tuple(r) for r in found.rejects.collect()) == [
+        ("1,x,3.5,99", "one.csv"),
+        ("4,5", "one.csv"),
+        ("6,7,0.5,99,extra", "one.csv"),
+        ('9,10,"4,0",99', "two.csv"),
+        ("99999999999,1,1,1", "two.csv"),
+    ]
+    # Both read what was written once: the files are not scanned again.
+    for df in found:
+        assert "csv" not in df._jdf.queryExecution().executedPlan().toString().lower().replace("one.csv", "")
+
+
+def test_checked_files_without_a_header_or_without_bad_lines(spark, tmp_path):
+    path = tmp_path / "w.csv"
+    path.write_text("0.5,1e-3,-1\n2,3,1\n2,3\n")
+    found = sources.read_checked(spark, str(path), sources.wide_schema(2), header=False)
+    assert found.rows.count() == 2 and [r.line for r in found.rejects.collect()] == ["2,3"]
+    path.write_text("tagId,tag\n7,\"so, so\"\n")
+    found = sources.read_checked(spark, str(path), sources.TAG_NAMES)
+    assert [tuple(r) for r in found.rows.collect()] == [(7, "so, so")] and found.rejects.count() == 0
+
+
+def test_scratch_tables_go_and_others_stay(spark, tmp_path):
+    root = Path(sources.fresh_path(spark, "x")).parent
+    before = {p.name for p in root.iterdir()} if root.exists() else set()
+    out = str(tmp_path / "kept")
+    with sources.scratch(spark):
+        inner = sources.materialise(spark.range(5), "inner")
+        with sources.scratch(spark):
+            kept = sources.materialise(sources.materialise(inner, "deep"), "kept", path=out)
+        assert inner.count() == 5
+    assert kept.count() == 5
+    assert ({p.name for p in root.iterdir()} if root.exists() else set()) == before
+    sources.release(spark, out)
+    assert not Path(out).exists()
