@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.operators.metrics import rmse
+from cairnspark.operators.products import best_products
 from cairnspark.operators.ranking import share_of_stored
 from cairnspark.operators.relational import union_all
 from cairnspark.operators.splits import SEED
@@ -213,15 +214,24 @@ def _exploded(recs: DataFrame, key: str, other: str) -> DataFrame:
     )
 
 
-def recommend_users(model: ALSModel, n: int = 5, users: DataFrame | None = None) -> DataFrame:
+def recommend_users(model: ALSModel, n: int = 5, users: DataFrame | None = None, **blocks: int) -> DataFrame:
     """(user, rank, item, score): the ``n`` best items for every user, or for those of ``users`` only.
 
-    Spark multiplies blocks of user factors with blocks of item factors: the work is users x items x
-    rank, the output n rows per user. Give ``users`` where not everybody needs a list.
+    Equal scores go by item. Items are searched by falling length of their factors, and only as far as a user's
+    n-th score may still be beaten; see ``best_products``, whose block sizes can be given.
     """
     user, item = model.getOrDefault("userCol"), model.getOrDefault("itemCol")
-    recs = model.recommendForAllUsers(n) if users is None else model.recommendForUserSubset(users, n)
-    return _exploded(recs, user, item)
+    wanted = model.userFactors
+    if users is not None:
+        wanted = wanted.join(users.select(F.col(user).alias("id")), "id", "left_semi")
+    found = best_products(wanted, model.itemFactors, n, **blocks)
+    place = F.posexplode(F.arrays_zip("ids", "scores")).alias("_pos", "_best")
+    return found.select("id", place).select(
+        F.col("id").cast("int").alias(user),
+        (F.col("_pos") + 1).alias("rank"),
+        F.col("_best.ids").cast("int").alias(item),
+        F.col("_best.scores").alias("score"),
+    )
 
 
 def recommend_items(model: ALSModel, items: DataFrame, n: int = 10) -> DataFrame:
