@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairnspark.operators import classify, metrics, splits
+from cairnspark.operators import classify, metrics, model_tables, splits
 from cairnspark.operators.relational import union_all
 from cairnspark.plans import views
 from cairnspark.plans.registry import once, query
@@ -242,14 +242,32 @@ _PLANTED = f"""v_planted AS (SELECT vec_id, CASE WHEN _c0 + _c1 > 0 THEN 1 ELSE
     {_is_test("holdout")} < 20 AS in_test, {_is_test("sample")} < {round(100 * TUNING_SHARE)} AS in_sample FROM v_wide)"""
 
 _FITTED = sql(
-    """SELECT '{kind}' AS model, vec_id, label, true AS agrees, true AS score_in_range FROM v_planted WHERE in_test""",
+    """SELECT '{kind}' AS model, vec_id, label, true AS agrees, true AS score_in_range, true AS as_from_tables
+       FROM v_planted WHERE in_test""",
     "v_wide",
     _PLANTED,
 )
 
 
-def _checked(rows: DataFrame) -> DataFrame:
-    """Keys, label, and whether prediction and score, which no other engine can recompute, fit together."""
+def from_tables(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """(vec_id, score, prediction) of the test part, from the fitted model written down as a table."""
+    model, rows = fitted(spark, sf_dir, kind), test(spark, sf_dir).select("vec_id", *INPUTS)
+    if kind == "rf":
+        nodes = materialise(model_tables.tree_nodes(model), "tree-nodes")
+        return model_tables.score_forest(rows, nodes, INPUTS, ["vec_id"])
+    if kind == "lr":
+        found = model_tables.score_linear(rows, model_tables.coefficients(model, INPUTS), INPUTS)
+    else:
+        found = model_tables.score_layers(rows, model_tables.layer_weights(model), INPUTS)
+    return found.select("vec_id", "score", "prediction")
+
+
+def _checked(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Keys, label, whether prediction and score fit together, and whether the model as a table gives the same."""
+    again = from_tables(spark, sf_dir, kind).toDF("vec_id", "score_again", "prediction_again")
+    rows = scored(spark, sf_dir, kind).join(again, "vec_id", "left")
+    close = F.abs(F.col("score") - F.col("score_again")) < 1e-9
+    same = close & ((F.col("prediction") == F.col("prediction_again")) | (F.abs(F.col("score") - 0.5) < 1e-9))
     return rows.select(
         "model",
         "vec_id",
@@ -257,22 +275,41 @@ def _checked(rows: DataFrame) -> DataFrame:
         # At a score of one half either class may win.
         (((F.col("score") >= 0.5) == (F.col("prediction") == 1)) | (F.abs(F.col("score") - 0.5) < 1e-9)).alias("agrees"),
         F.col("score").between(0, 1).alias("score_in_range"),
+        F.coalesce(same, F.lit(False)).alias("as_from_tables"),
     )
 
 
 @query("rf_fit_predict_check", _FITTED.format(kind="rf"))
 def rf_fit_predict_check(spark, sf_dir):
-    return _checked(scored(spark, sf_dir, "rf"))
+    return _checked(spark, sf_dir, "rf")
 
 
 @query("lr_fit_predict_check", _FITTED.format(kind="lr"))
 def lr_fit_predict_check(spark, sf_dir):
-    return _checked(scored(spark, sf_dir, "lr"))
+    return _checked(spark, sf_dir, "lr")
 
 
 @query("mlp_fit_predict_check", _FITTED.format(kind="mlp"))
 def mlp_fit_predict_check(spark, sf_dir):
-    return _checked(scored(spark, sf_dir, "mlp"))
+    return _checked(spark, sf_dir, "mlp")
+
+
+@query("rf_tree_nodes")
+def rf_tree_nodes(spark, sf_dir):
+    """The fitted forest as a table."""
+    return model_tables.tree_nodes(fitted(spark, sf_dir, "rf"))
+
+
+@query("lr_coefficients")
+def lr_coefficients(spark, sf_dir):
+    """The fitted regression as a table."""
+    return model_tables.coefficients(fitted(spark, sf_dir, "lr"), INPUTS)
+
+
+@query("mlp_layer_weights")
+def mlp_layer_weights(spark, sf_dir):
+    """The fitted perceptron as a table."""
+    return model_tables.layer_weights(fitted(spark, sf_dir, "mlp"))
 
 
 def _grid_sizes() -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnspark.operators import clusters as cl
-from cairnspark.operators import folds, ranking, recommend, splits
+from cairnspark.operators import folds, model_tables, ranking, recommend, splits
 from cairnspark.operators.metrics import rmse as rmse_of
 from cairnspark.operators.relational import distinct_items as distinct_items_of
 from cairnspark.operators.relational import union_all
@@ -293,7 +293,7 @@ def _finite(column: str) -> Column:
 @query(
     "als_predict_check",
     sql(
-        """SELECT user_id, item_id, rating, true AS finite FROM v_holdout WHERE in_test
+        """SELECT user_id, item_id, rating, true AS finite, true AS as_from_tables FROM v_holdout WHERE in_test
              AND user_id IN (SELECT user_id FROM v_holdout WHERE NOT in_test)
              AND item_id IN (SELECT item_id FROM v_holdout WHERE NOT in_test)""",
         "v_ratings",
@@ -301,8 +301,19 @@ def _finite(column: str) -> Column:
     ),
 )
 def als_predict_check(spark, sf_dir):
-    rows = holdout_fit(spark, sf_dir)[1]
-    return rows.select("user_id", "item_id", "rating", _finite("prediction").alias("finite"))
+    """Which rows are scored, and whether the factors as a table give the same prediction (in single precision)."""
+    model, rows = holdout_fit(spark, sf_dir)
+    again = model_tables.score_factors(rows.withColumnRenamed("prediction", "fitted"), model_tables.factors(model))
+    same = F.abs(F.col("fitted") - F.col("prediction")) <= 1e-5 * (1 + F.abs("fitted"))
+    return again.select(
+        "user_id", "item_id", "rating", _finite("fitted").alias("finite"), F.coalesce(same, F.lit(False)).alias("as_from_tables")
+    )
+
+
+@query("als_factors")
+def als_factors(spark, sf_dir):
+    """The factors of the fit on the training part as a table."""
+    return model_tables.factors(holdout_fit(spark, sf_dir)[0])
 
 
 @query(
