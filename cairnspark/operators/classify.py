@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
+from itertools import product
+from multiprocessing.pool import ThreadPool
 from typing import Any, NamedTuple
 
-from pyspark import StorageLevel
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.functions import hash_bucket
+from cairnspark.operators.metrics import accuracy
 from cairnspark.operators.splits import SEED
-from cairnspark.sources.tables import ensure_checkpoint_dir
+from cairnspark.sources.tables import ensure_checkpoint_dir, exists, fresh_path, materialise, write_parquet
 
 # Settings seen in the published runs.
 DEFAULTS: dict[str, dict[str, Any]] = {
@@ -92,6 +94,25 @@ class Tuned(NamedTuple):
     report: DataFrame  # model, grid_point, params, mean_metric, winner
     params: dict[str, Any]  # the winner's point of the grid
     model: PipelineModel  # the winner, fitted on all of the tuning rows
+    metrics: DataFrame  # grid_point, fold, metric: the accuracy of each fit
+
+
+METRICS = "grid_point int, fold int, metric double"
+
+
+def grid_points(grid: Mapping[str, Sequence]) -> list[dict[str, Any]]:
+    """All combinations; the values of the last name change first."""
+    return [dict(zip(grid, values)) for values in product(*grid.values())]
+
+
+def _named(point: Mapping[str, Any]) -> str:
+    return ", ".join(f"{n}={v}" for n, v in sorted(point.items()))
+
+
+def _identity(rows: DataFrame, *settings: Any) -> str:
+    """A name for a tuning: its settings, and the number and a hash of its rows in any order."""
+    seen = rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*rows.columns)), F.sum(F.crc32(F.to_json(F.struct(*rows.columns)))))
+    return hashlib.sha256(repr((*settings, tuple(seen.first()))).encode()).hexdigest()[:32]
 
 
 def cv_tune(
@@ -104,47 +125,64 @@ def cv_tune(
     inputs: Sequence[str] | None = None,
     fold_keys: Sequence[str] | None = None,
     parallelism: int = 4,
+    store: str | None = None,
 ) -> Tuned:
     """Cross-validate a grid by accuracy; meant for a sample of the training rows.
 
-    Features are assembled and held once for all fits. Folds come from the hash of ``fold_keys``
+    Features are assembled and written once for all fits, by fold. Folds come from the hash of ``fold_keys``
     (of the feature columns if not given), so the folds are the same in every run.
+
+    The metric of each (grid point, fold) is written as soon as it is known. With ``store``, a folder of
+    the caller's, a later call with the same rows and settings finds them there and fits only what is left; other rows
+    or settings have a folder of their own in it. Without, the metrics go to a fresh folder.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    grid = dict(grid or GRIDS[kind])
     inputs = list(inputs or feature_columns(df, label))
     fold = hash_bucket(fold_keys or inputs, folds, "tuning")
-    rows = assemble(df.select(*inputs, label, fold.alias("_fold")), inputs)
-    estimator = _estimator(kind, label, params or {}, len(inputs))
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(estimator.getParam(name), list(values))
-    points = builder.build()
-    validator = CrossValidator(
-        estimator=Pipeline(stages=[estimator]),
-        estimatorParamMaps=points,
-        evaluator=MulticlassClassificationEvaluator(metricName="accuracy", labelCol=label),
-        numFolds=folds,
-        foldCol="_fold",
-        parallelism=parallelism,
-    )
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        tuned = validator.fit(rows)
-    finally:
-        rows.unpersist()
-    # One row per grid point.
-    named = [{param.name: value for param, value in point.items()} for point in points]
-    best = max(range(len(named)), key=lambda i: (tuned.avgMetrics[i], -i))
+    plain = df.select(*inputs, label, fold.alias("_fold"))
+    settings = {**DEFAULTS[kind], **(params or {})}
+    points = grid_points(dict(grid or GRIDS[kind]))
+    if store is None:
+        path = fresh_path(spark, f"tuning-{kind}")
+    else:
+        path = f"{store.rstrip('/')}/{kind}-{_identity(plain, sorted(settings.items()), inputs, label, folds)}"
+    rows = materialise(assemble(plain, inputs), f"tuning-rows-{kind}", ["_fold"])
+
+    def place(i: int, f: int) -> str:
+        # Under the point's own settings, so that a longer grid finds what a shorter one has left.
+        return f"{path}/{hashlib.sha256(_named(points[i]).encode()).hexdigest()[:16]}/fold={f}"
+
+    def known(i: int, f: int) -> float | None:
+        if not exists(spark, f"{place(i, f)}/_SUCCESS"):
+            return None
+        return spark.read.schema("metric double").parquet(place(i, f)).first()["metric"]
+
+    def run(task: tuple[int, int]) -> float:
+        i, f = task
+        metric = known(i, f) if store is not None else None
+        if metric is None:
+            estimator = _estimator(kind, label, {**(params or {}), **points[i]}, len(inputs))
+            model = estimator.fit(rows.where(F.col("_fold") != f))
+            metric = accuracy(model.transform(rows.where(F.col("_fold") == f)), label=label).first()["accuracy"]
+            if metric is None:
+                raise ValueError(f"fold {f} of the tuning has no rows")
+            write_parquet(spark.createDataFrame([(metric,)], "metric double"), place(i, f))
+        return metric
+
+    tasks = [(i, f) for i in range(len(points)) for f in range(folds)]
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        found = dict(zip(tasks, pool.map(inheritable_thread_target(spark)(run), tasks, chunksize=1)))
+    means = [sum(found[i, f] for f in range(folds)) / folds for i in range(len(points))]
+    best = max(range(len(points)), key=lambda i: (means[i], -i))
     report = spark.createDataFrame(
-        [
-            (kind, i, ", ".join(f"{n}={v}" for n, v in sorted(point.items())), float(metric), i == best)
-            for i, (point, metric) in enumerate(zip(named, tuned.avgMetrics))
-        ],
+        [(kind, i, _named(point), mean, i == best) for i, (point, mean) in enumerate(zip(points, means))],
         "model string, grid_point int, params string, mean_metric double, winner boolean",
     )
-    return Tuned(report, named[best], tuned.bestModel)
+    winner = _estimator(kind, label, {**(params or {}), **points[best]}, len(inputs))
+    model = Pipeline(stages=[winner]).fit(rows.drop("_fold"))
+    metrics = spark.createDataFrame([(i, f, found[i, f]) for i, f in tasks], METRICS)
+    return Tuned(report, points[best], model, metrics)
 
 
 def refit(

@@ -74,6 +74,39 @@ def test_tune_and_refit(parts):
     assert names["regParam"] == "0.01"
 
 
+def test_a_stopped_tuning_goes_on_where_it_was(parts, tmp_path, monkeypatch):
+    train, _ = parts
+    grid, store = {"regParam": [0.01, 10.0], "elasticNetParam": [0.0, 1.0]}, str(tmp_path / "store")
+    fits, stop_after = [], 5
+    estimator = classify._estimator
+
+    def counted(kind, label, params, n):
+        if len(fits) == stop_after:
+            raise RuntimeError("stopped")
+        fits.append(dict(params))
+        return estimator(kind, label, params, n)
+
+    monkeypatch.setattr(classify, "_estimator", counted)
+
+    def tune(rows=train, wanted=grid, **more):
+        fits.clear()
+        return classify.cv_tune("lr", rows, wanted, folds=3, fold_keys=["vec_id"], parallelism=1, store=store, **more)
+
+    with pytest.raises(RuntimeError, match="stopped"):
+        tune()
+    stop_after = 100
+    found = tune()
+    assert len(fits) == 12 - 5 + 1  # what was left, and the winner on all rows
+    whole = classify.cv_tune("lr", train, grid, folds=3, fold_keys=["vec_id"])
+    assert sorted(found.metrics.collect()) == sorted(whole.metrics.collect())
+    assert [tuple(r) for r in found.report.collect()] == [tuple(r) for r in whole.report.collect()]
+    tune(wanted={"elasticNetParam": [1.0, 0.5], "regParam": [0.01]})
+    assert len(fits) == 3 + 1  # of two points one is known, in whatever order names and values come
+    for changed in ({"rows": train.where("vec_id <> 7")}, {"params": {"maxIter": 3}}):
+        tune(**changed)
+        assert len(fits) == 12 + 1
+
+
 def test_default_grids_use_parameters_of_their_models(parts):
     for kind, grid in classify.GRIDS.items():
         estimator = classify._estimator(kind, "label", {}, 6)
