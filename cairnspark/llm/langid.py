@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cairnspark.llm.chars import Words, char_starts, distinct_words
 from cairnspark.llm.text import PIECE_BYTES, bounded_batches, flat, pieces, run_hashes, slices, unique_counts
@@ -150,26 +149,52 @@ def _learn(counts: dict[tuple[str, int], np.ndarray], settings: Settings) -> Mod
     return Models(languages, *(list(x) for x in zip(*merged)), 1 / alphabet, np.full(len(languages), np.inf))
 
 
+def sample_limits(places: DataFrame, wanted: int, most_languages: int) -> dict[str, int]:
+    """The ``wanted``-th smallest place of each language, or its last place where there are fewer distinct ones.
+
+    Places are hashes, so how many rows a language has tells about where that place is. Only rows
+    up to there, and a few more, are looked at, and each task keeps distinct places: no language
+    comes to one task as a whole. Should there be too few, as ids repeat, the range is widened.
+    """
+    sizes = {r["lang"]: r["count"] for r in places.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    found: dict[str, int] = {}
+    widen = 1.0
+    while len(found) < len(sizes):
+        shares = {x: min(1.0, widen * (wanted + 6 * wanted**0.5 + 20) / n) for x, n in sizes.items() if x not in found}
+        bounds = [(x, (1 << 63) - 1 if share == 1 else int(share * 2.0**64) - (1 << 63)) for x, share in sorted(shares.items())]
+        near = places.join(F.broadcast(places.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang")
+        least = F.array_sort(F.collect_set("place"))
+        for r in (
+            near.where("place <= bound")
+            .groupBy("lang")
+            .agg(least.alias("places"))
+            .select("lang", F.size("places").alias("n"), F.get("places", F.least(F.size("places"), F.lit(wanted)) - 1).alias("last"))
+            .collect()
+        ):
+            if r["n"] >= wanted or shares[r["lang"]] == 1:
+                found[r["lang"]] = r["last"]
+        widen *= 8
+    return found
+
+
 def fit(documents: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Models:
     """Learn from at most ``settings.rows_per_language`` rows of each language, chosen by the hash of their id.
 
-    Rows without id or language take no part; a null text is an empty one. Four of five sampled rows
+    Rows without id or language take no part; a null text is an empty one; rows of one id and language count once. Four of five sampled rows
     are counted, the fifth sets the limit of rejection. Raises ValueError if no row has a language,
     or if there are more than ``settings.most_languages``.
     """
-    order = Window.partitionBy("lang").orderBy("place")
     rows = (
         documents.select(F.xxhash64(doc_id).alias("place"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
         .where("doc_id is not null and lang is not null")
         .drop("doc_id")
     )
-    # Up to 1000 rows a group Spark ranks before the shuffle, so a language of most rows is no trouble.
-    ranked = rows.select("lang", "place").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= settings.rows_per_language)
-    last = ranked.groupBy("lang").agg(F.max("place").alias("last")).limit(settings.most_languages + 1).collect()
-    if len(last) > settings.most_languages:
-        raise ValueError(f"more than {settings.most_languages} languages")
-    limits = documents.sparkSession.createDataFrame([(r["lang"], r["last"]) for r in last], "lang string, last long")
-    sample = rows.join(F.broadcast(limits), "lang").where("place <= last")
+    limits = sample_limits(rows.select("lang", "place"), settings.rows_per_language, settings.most_languages)
+    limits = documents.sparkSession.createDataFrame(sorted(limits.items()), "lang string, last long")
+    # At most ``most_languages`` limits. Rows of one id count once, with the first of their texts.
+    sample = rows.join(F.broadcast(limits), "lang").where("place <= last").groupBy("lang", "place").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):

@@ -32,7 +32,7 @@ def frame(spark, rows):
 def test_recall_and_order_against_brute_force(spark):
     rows = vectors(np.random.default_rng(3), 3000)
     rows += [(9000, None), (9050, [0.0] * 8), (9100, [float("nan")] * 8), (9150, [1.0] * 3), (9200, [1.0, None] * 4), (None, [1.0] * 8), rows[7], (9250, [float("inf")] + [1.0] * 7)]
-    settings = neighbours.Settings(block_rows=500, block_queries=20)
+    settings = neighbours.Settings(block_rows=500, trees=16)
     got = {}
     for r in neighbours.nearest(frame(spark, rows), settings).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
@@ -57,11 +57,74 @@ def test_few_rows_and_none(spark):
     assert neighbours.nearest(frame(spark, [(0, [1.0, 2.0])])).collect() == []
 
 
+def test_one_id_with_several_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(1, 40)]
+    rows += [(50, rows[0][1]), (50, rows[1][1]), (50, rows[1][1]), (7, rows[2][1])]
+    lists = {}
+    for r in neighbours.nearest(frame(spark, rows), neighbours.Settings(trees=8), counted="n").collect():
+        lists.setdefault((r.query_id, r.n, r.score if r["rank"] == 1 else None), r)
+        assert r.vec_id != r.query_id and r.n <= 40
+    firsts = sorted((r.query_id, r.vec_id) for r in lists.values() if r["rank"] == 1)
+    assert firsts == [(50, 1), (50, 2)]  # a list for each vector of the id, the repeated row counts once
+
+
+def test_recall_and_rows_compared_in_many_dimensions(spark):
+    """Directions without any structure, the worst case; the share of rows compared falls as tables grow."""
+    rng = np.random.default_rng(9)
+    vectors = rng.standard_normal((8000, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    found = neighbours.nearest(rows, counted="n").collect()
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1)[:, None]
+    hits, compared = 0, {}
+    for query in range(0, 8000, 50):
+        score = unit @ unit[query]
+        score[query] = -2
+        best = set(np.argsort(-score)[:5].tolist())
+        hits += sum(r.vec_id in best for r in found if r.query_id == query)
+    for r in found:
+        compared[r.query_id] = r.n
+    assert len(compared) == 160 and hits >= 0.9 * 800
+    assert sum(compared.values()) < 0.3 * 160 * 8000
+
+
 def test_leaves_hold_equal_shares():
     rng = np.random.default_rng(1)
     sample = rng.standard_normal((4096, 8))
-    forest = neighbours.plant(sample, neighbours.Settings(trees=3, leaf_rows=32))
+    forest = neighbours.plant(sample, neighbours.Settings(trees=3, leaf_rows=32, node_rows=32))
+    assert (forest.depth, forest.fitted) == (7, 7)
     counts = np.bincount(forest.leaves(sample)[:, 1], minlength=1 << forest.depth)
     assert counts.min() >= 28 and counts.max() <= 36
-    every = forest.search(sample[0], 1.0)
-    assert all(len(set(x.tolist())) == len(x) for x in every) and max(map(len, every)) == 1 << forest.depth
+    deep = neighbours.plant(sample, neighbours.Settings(trees=3), n_rows=400_000)
+    assert (deep.depth, deep.fitted) == (16, 6)
+    more = rng.standard_normal((20_000, 8))
+    halves = deep.leaves(more)[:, 0] >> 8
+    assert np.bincount(halves, minlength=256).max() < 5 * 20_000 / 256
+    for f in (forest, deep):
+        own = f.leaves(sample[:50])
+        for v, leaves in zip(sample[:50], own):
+            first = {}
+            for t, leaf, missed in f.search(v, -0.05):
+                first.setdefault(t, leaf)
+            assert all(leaves[t] == leaf for t, leaf in first.items())  # a tree is entered at the own leaf
+    every = list(forest.search(sample[0], -np.inf))
+    assert len(set(x[:2] for x in every)) == len(every) == 3 << forest.depth
+
+
+def test_chances_are_fitted():
+    rng = np.random.default_rng(2)
+    sample = rng.standard_normal((2000, 16))
+    sample /= np.linalg.norm(sample, axis=1)[:, None]
+    forest = neighbours.plant(sample, neighbours.Settings(trees=24))
+    near = []
+    for v in sample[:100]:
+        near.append(sample[np.argsort(-(sample @ v))[1:6]])
+    fitted = neighbours.fit_search(forest, sample[:100], near, 0.9)
+    hit = total = 0
+    for v, others in zip(sample[:100], near):
+        seen = {x[:2] for x in fitted.search(v)}
+        for leaves in fitted.leaves(others):
+            hit += any((t, leaf) in seen for t, leaf in enumerate(leaves.tolist()))
+            total += 1
+    assert 0.9 <= hit / total < 0.96
+    assert neighbours.fit_search(forest, np.zeros((0, 16)), [], 0.9) is forest
