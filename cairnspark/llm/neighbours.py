@@ -123,6 +123,9 @@ class Forest:
             missed += math.log(max(1e-12, 1 - chance[t]))
 
 
+#: Visits of a query whose finds are put together, and rows of a part of a leaf, at most.
+_VISITS, _LEAF_PART = 1 << 14, 1 << 12
+
 #: -log Phi(x) for x from -8 to 8.
 _PHI_STEP, _PHI_SIZE = 64, 512
 _LOG_PHI = [-math.log(max(1e-300, NormalDist().cdf(i / _PHI_STEP))) for i in range(-_PHI_SIZE, _PHI_SIZE + 1)]
@@ -275,7 +278,7 @@ def nearest(
 
     Of equal vectors only the ``k`` + 1 of smallest id can be among anyone's ``k`` nearest; the
     others are left out before the rows are dealt out, so a very common vector costs nothing. A leaf
-    that holds very many rows is split by AQE in the join.
+    that holds very many rows is kept and visited in parts.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -307,18 +310,53 @@ def nearest(
         for batch in batches:
             for query, vector in zip(batch.column("row").to_numpy(), _unit(_matrix(batch.column("embedding"), size))):
                 slots = np.array([leaf + (t << shared.value.depth) for t, leaf, _ in shared.value.search(vector)], np.int64)
-                yield pa.record_batch({"slot": pa.array(slots), "query": pa.array(np.full(len(slots), query))})
+                pieces = np.arange(len(slots)) // _VISITS
+                yield pa.record_batch(
+                    {"slot": pa.array(slots), "query": pa.array(np.full(len(slots), query)), "piece": pa.array(pieces)}
+                )
+
+    n_blocks = -(-n_rows // settings.block_rows) or 1
+
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for query, lists in zip(batch.column("query").to_pylist(), batch.column("lists")):
+                found = np.unique(lists.values.flatten().to_numpy())
+                block = found % n_blocks
+                order = np.argsort(block, kind="stable")
+                used, starts = np.unique(block[order], return_index=True)
+                parts = np.split(found[order], starts[1:])
+                yield pa.record_batch(
+                    {
+                        "block": pa.array(used.astype(np.int32)),
+                        "query": pa.array(np.full(len(used), query)),
+                        "rows": pa.array([x.tolist() for x in parts], pa.list_(pa.int64())),
+                    }
+                )
 
     entries = indexed.select("row", "embedding").mapInArrow(put, "slot long, row long")
     visits = (
         queries.select("row", "embedding")
         .repartition(4 * spark.sparkContext.defaultParallelism, "row")
-        .mapInArrow(visit, "slot long, query long")
+        .mapInArrow(visit, "slot long, query long, piece long")
     )
-    n_blocks = -(-n_rows // settings.block_rows) or 1
-    block = F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int").alias("block")
+    # A leaf with very many rows, of vectors that no split tells apart, is kept in several parts.
+    heavy = entries.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > _LEAF_PART)
+    heavy = materialise(heavy.select("slot", F.ceil(F.col("n") / _LEAF_PART).cast("int").alias("parts")), "full-leaves")
+    parts = F.coalesce("parts", F.lit(1))
+    leaves = (
+        entries.join(heavy, "slot", "left")
+        .groupBy("slot", F.pmod("row", parts).cast("int").alias("part"))
+        .agg(F.collect_list("row").alias("leaf"))
+    )
+    asked_leaves = visits.join(heavy, "slot", "left").select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    block = F.pmod("row", F.lit(n_blocks)).cast("int").alias("block")
     # Of a query, only what it has found in a block goes there, with its vector once.
-    found = visits.join(entries, "slot").groupBy("query", block).agg(F.collect_set("row").alias("rows"))
+    found = (
+        asked_leaves.join(leaves, ["slot", "part"])
+        .groupBy("query", "piece")
+        .agg(F.collect_list("leaf").alias("lists"))
+        .mapInArrow(by_block, "block int, query long, rows array<long>")
+    )
     asked = found.join(
         queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query"
     )
@@ -331,7 +369,8 @@ def nearest(
         indexed.select("row", "vec_id", "embedding", block)
         .groupBy("block")
         .cogroup(asked.groupBy("block"))
-        .applyInArrow(compare, "query long, query_id long, vec_id long, score double, n_compared long")
+        .applyInArrow(compare, "query long, query_id long, row long, vec_id long, score double, n_compared long")
+        .dropDuplicates(["query", "row"])  # a row may be found by several pieces of the visits
     )
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     # Within a block the first row of a query tells how many were compared.
@@ -342,7 +381,7 @@ def nearest(
 
 def _compare(rows: pa.Table, queries: pa.Table, size: int, k: int) -> pa.Table:
     """The k best of the rows found for each query in this block, and on the first of them how many were compared."""
-    out: dict[str, list] = {name: [] for name in ("query", "query_id", "vec_id", "score", "n_compared")}
+    out: dict[str, list] = {name: [] for name in ("query", "query_id", "row", "vec_id", "score", "n_compared")}
     if rows.num_rows and queries.num_rows:
         numbers, ids = rows["row"].to_numpy(), rows["vec_id"].to_numpy()
         order = np.argsort(numbers, kind="stable")
@@ -366,10 +405,11 @@ def _compare(rows: pa.Table, queries: pa.Table, size: int, k: int) -> pa.Table:
             for name, values in (
                 ("query", [query] * len(top)),
                 ("query_id", [query_id] * len(top)),
+                ("row", numbers[at][top].tolist()),
                 ("vec_id", ids[at][top].tolist()),
                 ("score", score[top].tolist()),
                 ("n_compared", [n_compared] + [0] * (len(top) - 1)),
             ):
                 out[name] += values
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
     return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(out.items(), kinds)})
