@@ -42,6 +42,14 @@ def distinct_words(data: np.ndarray, bounds: np.ndarray) -> Words:
     return Words(framed, edges, rows, word, codes)
 
 
+def chosen_words(words: Words, which: np.ndarray) -> Words:
+    """Some of the distinct words, without their occurrences."""
+    sizes = np.diff(words.bounds)[which]
+    data = words.data[expand(words.bounds[:-1][which], sizes)]
+    none = np.zeros(0, np.int64)
+    return Words(data, np.append(0, np.cumsum(sizes)), none, none, words.codes[which])
+
+
 def char_starts(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Where each character of ``words.data`` starts (and the end of the data), and its word."""
     starts = np.flatnonzero((words.data & 0xC0) != 0x80)

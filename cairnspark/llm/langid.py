@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.chars import Words, char_starts, distinct_words
-from cairnspark.llm.text import PIECE_BYTES, bounded_batches, flat, pieces, run_hashes, slices, unique_counts
+from cairnspark.llm.chars import Words, char_starts, chosen_words, distinct_words
+from cairnspark.llm.text import PIECE_BYTES, Known, bounded_batches, flat, pieces, run_hashes, slices, unique_counts
 
 UNDETERMINED = "und"
 
@@ -84,10 +85,48 @@ def word_bits(words: Words, models: Models) -> tuple[np.ndarray, np.ndarray]:
     return bits, np.bincount(word[predicted], minlength=len(words))[: len(words)]
 
 
-def cross_entropies(column: pa.Array, models: Models) -> tuple[np.ndarray, np.ndarray]:
+class Remembered:
+    """The bits of the words that were met last, up to ``keep`` of them, by their hash."""
+
+    def __init__(self, models: Models, keep: int | None = None):
+        self.models = models
+        self.keep = keep or max(1000, (32 << 20) // (8 * len(models.languages) + 40))
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = Known(np.zeros(0, np.uint64), self.keep)
+        self.bits, self.size = np.zeros((self.keep, len(self.models.languages))), np.zeros(self.keep, np.int64)
+
+    def __call__(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        at = self.known.find(words.codes)
+        if self.known.n + int((at < 0).sum()) > self.keep:
+            self.clear()
+            at = np.full(len(words), -1)
+        new = np.flatnonzero(at < 0)
+        if not len(new) or len(new) > self.keep:
+            return word_bits(words, self.models) if len(new) else (self.bits[at], self.size[at])
+        bits, size = word_bits(chosen_words(words, new), self.models)
+        numbers = np.arange(self.known.n, self.known.n + len(new))
+        self.known.add(words.codes[new])
+        self.bits[numbers], self.size[numbers], at[new] = bits, size, numbers
+        return self.bits[at], self.size[at]
+
+
+_held: dict[str, Remembered] = {}
+
+
+def _remembered(key: str, models: Models) -> Remembered:
+    """What this Python worker remembers of the words of one call of ``identify``, the last one."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = Remembered(models)
+    return _held[key]
+
+
+def cross_entropies(column: pa.Array, models: Models, remembered: Remembered | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Bits a character of each row under each language (0 without characters), and the characters."""
     words = distinct_words(*flat(column))
-    bits, size = word_bits(words, models)
+    bits, size = remembered(words) if remembered else word_bits(words, models)
     n = len(column)
     chars = np.bincount(words.rows, size[words.word], n)[:n]
     sums = [np.bincount(words.rows, bits[words.word, j], n)[:n] for j in range(bits.shape[1])]
@@ -294,10 +333,12 @@ def identify(documents: DataFrame, models: Models, text: str = "text", settings:
     """
     bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(models)  # the sample bounds the tables
+    key = uuid.uuid4().hex
 
     @F.arrow_udf("struct<pred: string, score: double, bits: double, rejected: boolean>")
     def identified(texts: pa.Array) -> pa.Array:
-        parts = [_identify(part, shared.value, settings) for part in slices(texts, PIECE_BYTES)]
+        remembered = _remembered(key, shared.value)
+        parts = [_identify(part, shared.value, settings, remembered) for part in slices(texts, PIECE_BYTES)]
         columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0)] * 4
         return pa.StructArray.from_arrays(
             [pa.array(columns[0], pa.string()), pa.array(columns[1].astype(float)), pa.array(columns[2].astype(float)), pa.array(columns[3].astype(bool))],
@@ -324,8 +365,8 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return found
 
 
-def _identify(column: pa.Array, models: Models, settings: Settings) -> tuple[np.ndarray, ...]:
-    bits, chars = cross_entropies(column, models)
+def _identify(column: pa.Array, models: Models, settings: Settings, remembered: Remembered) -> tuple[np.ndarray, ...]:
+    bits, chars = cross_entropies(column, models, remembered)
     best = bits.argmin(axis=1)
     lowest = bits[np.arange(len(best)), best]
     evidence = np.minimum(chars, settings.evidence)[:, None]

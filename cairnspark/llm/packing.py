@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.text import bounded_batches, flat, lowered, mix, pieces, run_hashes, unique_counts
+from cairnspark.llm.text import Known, bounded_batches, flat, lowered, mix, pieces, run_hashes, unique_counts
 from cairnspark.sources.tables import materialise
 
 
@@ -46,42 +46,6 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-class _Known:
-    """Numbers of 64-bit hashes, by open addressing in one array."""
-
-    def __init__(self, hashes: np.ndarray, size: int):
-        self.hashes, self.n = np.zeros(size, np.uint64), 0
-        self.slots = np.full(1 << (2 * size).bit_length(), -1, np.int32)
-        self.add(hashes)
-
-    def _slot(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes & np.uint64(len(self.slots) - 1)).astype(np.int64)
-
-    def add(self, hashes: np.ndarray) -> None:
-        """Distinct hashes, none of them known; they get the next numbers."""
-        numbers = np.arange(self.n, self.n + len(hashes), dtype=np.int32)
-        self.hashes[numbers] = hashes
-        self.n += len(hashes)
-        slot = self._slot(hashes)
-        while len(numbers):
-            free = self.slots[slot] < 0
-            self.slots[slot[free]] = numbers[free]
-            left = self.slots[slot] != numbers  # taken, or another one came to the same slot
-            numbers, slot = numbers[left], (slot[left] + 1) & (len(self.slots) - 1)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The number of each hash, -1 if it is not known."""
-        out = np.full(len(hashes), -1, np.int64)
-        left, slot = np.arange(len(hashes)), self._slot(hashes)
-        while len(left):
-            number = self.slots[slot]
-            same = (number >= 0) & (self.hashes[number] == hashes[left])
-            out[left[same]] = number[same]
-            on = (number >= 0) & ~same
-            left, slot = left[on], (slot[on] + 1) & (len(self.slots) - 1)
-        return out
-
-
 class Encoder:
     """Ids of whole texts by a tokenizer that lower-cases, drops white space and never joins across it.
 
@@ -102,7 +66,7 @@ class Encoder:
         # The library's normaliser and splitter leave a word of small Latin letters as it is, and its
         # byte level writes each byte as a character; the model alone is faster.
         self.plain = re.compile("[a-zß-öø-ÿ]+").fullmatch
-        self.known = _Known(np.zeros(0, np.uint64), keep)
+        self.known = Known(np.zeros(0, np.uint64), keep)
         self.flat, self.bounds, self.asked = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def _forget(self) -> None:
@@ -110,7 +74,7 @@ class Encoder:
         keep = self.asked > 1
         keep &= 2 * keep.sum() < len(keep)
         sizes = np.diff(self.bounds)
-        self.known = _Known(self.known.hashes[: len(keep)][keep], self.keep)
+        self.known = Known(self.known.hashes[: len(keep)][keep], self.keep)
         self.flat = self.flat[np.repeat(keep, sizes)]
         self.bounds = np.append(0, np.cumsum(sizes[keep]))
         self.asked = np.zeros(self.known.n, np.int64)
