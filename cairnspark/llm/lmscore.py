@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnspark.llm.text import bounded_batches, flat, lowered, mix, pieces, run_hashes, slices, tokens
@@ -23,10 +24,10 @@ from cairnspark.sources.tables import materialise
 
 @dataclass(frozen=True)
 class Settings:
-    order: int = 2
+    order: int = 3
     backoff: float = 0.4
-    #: N-grams of two words or more that the corpus has less often count as unseen.
-    least_count: int = 2
+    #: N-grams of two words or more that the corpus has less often count as unseen; every n-gram counts by default.
+    least_count: int = 1
     block_bytes: int = 4 << 20
     #: Entries of a bucket of the count table, about.
     bucket_entries: int = 1 << 20
@@ -42,6 +43,27 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def packed_sorted(hashes: np.ndarray) -> bytes:
+    """Rising numbers by their differences, whose high byte planes are mostly zero."""
+    return packed(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def unpacked_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+
+
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Queries inside the block delete their shuffle files when they are done, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _block(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words, the word number of each token, bounds of the rows in the tokens."""
     codes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -87,31 +109,34 @@ def _request(words: np.ndarray, word: np.ndarray, edges: np.ndarray, order: int)
     return hashes[sort], np.concatenate([g[2] for g in grams])[sort], places
 
 
-def token_logs(totals: np.ndarray, places: list[np.ndarray], corpus_words: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Log of the score of each token, and whether the longest n-gram that ends at it was found."""
+def token_logs(
+    totals: np.ndarray, places: list[np.ndarray], corpus_words: int, settings: Settings
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log of the score of each token, whether the longest n-gram that ends at it was found, and whether it is there twice."""
     if not len(places[0]):
-        return np.zeros(0), np.zeros(0, bool)
+        return np.zeros(0), np.zeros(0, bool), np.zeros(0, bool)
     count = [np.where(p >= 0, totals[np.maximum(p, 0)], 0) for p in places]
     log = np.log(count[0]) - np.log(corpus_words)
-    top = np.ones(len(log), bool)
+    top, twice = np.ones(len(log), bool), count[0] > 1
     for n in range(1, len(places)):
         exists = places[n] >= 0
         found = exists & (count[n] >= settings.least_count)
         context = np.append(1, count[n - 1][:-1])  # of the n-gram that ends one token before
         log = np.where(found, np.log(np.maximum(count[n], 1)) - np.log(np.maximum(context, 1)), log + exists * np.log(settings.backoff))
-        top = np.where(exists, found, top)
-    return log, top
+        top, twice = np.where(exists, found, top), np.where(exists, count[n] > 1, twice)
+    return log, top, twice
 
 
 def score(documents: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_found, log_score): the log score of each document, summed over its words.
+    """(doc_id, n_words, n_found, n_repeated, log_score): the log score of each document, summed over its words.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z as a-z. The score of a word is
     count(n-gram) / count(its first n - 1 words) for the longest n-gram up to ``order`` that ends at
     it within the document, if the corpus has it ``least_count`` times; else ``backoff`` times the
     score of the n-gram one shorter; for a single word count / all words. Counts are those of all
-    rows of ``documents``. ``n_found`` counts the words whose longest n-gram was found. A text that
-    is null, empty or without words has 0, 0 and 0.0. Repeated rows count and are scored as often as they occur.
+    rows of ``documents``. ``n_found`` counts the words whose longest n-gram was found,
+    ``n_repeated`` those whose longest n-gram the rows have twice or more. A text that is null, empty or
+    without words has 0, 0, 0 and 0.0. Repeated rows count and are scored as often as they occur.
     """
     spark = documents.sparkSession
     bounded_batches(spark)
@@ -151,7 +176,7 @@ def score(documents: DataFrame, settings: Settings = Settings(), doc_id: str = "
                     [
                         pa.array(used.astype(np.int32)),
                         pa.array([row["block"]] * len(used), pa.string()),
-                        pa.array([packed(hashes[cuts[b] : cuts[b + 1]]) for b in used], pa.binary()),
+                        pa.array([packed_sorted(hashes[cuts[b] : cuts[b + 1]]) for b in used], pa.binary()),
                         pa.array([packed(counts[cuts[b] : cuts[b + 1]].astype(np.uint32)) for b in used], pa.binary()),
                     ],
                     names=["bucket", "block", "hashes", "counts"],
@@ -174,6 +199,8 @@ def score(documents: DataFrame, settings: Settings = Settings(), doc_id: str = "
     answers = dealt.mapInArrow(answer, "bucket int, block string, totals binary")
     # The answers to one block have one entry for each of its n-grams.
     told = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "totals"))).alias("answers"))
+    with shuffles_released(spark):  # the requests take most of the disk, and are not needed any more
+        told = materialise(told, "answers")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,26 +208,27 @@ def score(documents: DataFrame, settings: Settings = Settings(), doc_id: str = "
                 words, word, edges = held(row)
                 totals = [unpacked(x["totals"], np.uint64) for x in row["answers"] or ()]
                 _, _, places = _request(words, word, edges, order)
-                log, found = token_logs(np.concatenate(totals) if totals else np.zeros(0, np.uint64), places, corpus_words, settings)
+                log, found, twice = token_logs(np.concatenate(totals) if totals else np.zeros(0, np.uint64), places, corpus_words, settings)
                 owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["doc_ids"], batch.schema.field("doc_ids").type.value_type),
                         pa.array(np.diff(edges)),
                         pa.array(np.bincount(owner, found, len(edges) - 1).astype(np.int64)),
+                        pa.array(np.bincount(owner, twice, len(edges) - 1).astype(np.int64)),
                         pa.array(np.bincount(owner, log, len(edges) - 1).astype(np.float64)),
                     ],
-                    names=["doc_id", "n_words", "n_found", "log_score"],
+                    names=["doc_id", "n_words", "n_found", "n_repeated", "log_score"],
                 )
 
     return blocks.join(told, "block", "left").select("doc_ids", "words", "word", "edges", "answers").mapInArrow(
-        add_up, f"doc_id {id_type}, n_words long, n_found long, log_score double"
+        add_up, f"doc_id {id_type}, n_words long, n_found long, n_repeated long, log_score double"
     )
 
 
 def _answers(rows: list[dict]) -> pa.RecordBatch:
     """Total count of each n-gram of a bucket, for each request in its own order."""
-    hashes = [unpacked(r["hashes"], np.uint64) for r in rows]
+    hashes = [unpacked_sorted(r["hashes"]) for r in rows]
     every = np.concatenate(hashes)
     sort = np.argsort(every, kind="stable")
     first = np.append(True, every[sort][1:] != every[sort][:-1])

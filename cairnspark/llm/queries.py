@@ -193,17 +193,23 @@ WITH tokens AS (
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
 places AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM tokens),
-pairs AS (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM places),
+runs AS (
+  SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v, lag(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM places),
 one AS (SELECT w, count(*) AS c FROM places GROUP BY w),
-two AS (SELECT v, w, count(*) AS c FROM pairs WHERE v IS NOT NULL GROUP BY v, w),
+two AS (SELECT v, w, count(*) AS c FROM runs WHERE v IS NOT NULL GROUP BY v, w),
+three AS (SELECT u, v, w, count(*) AS c FROM runs WHERE u IS NOT NULL GROUP BY u, v, w),
 scored AS (
-  SELECT pairs.doc_id, two.c >= 2 OR pairs.v IS NULL AS found,
-    CASE WHEN two.c >= 2 THEN ln(two.c) - ln(before.c)
-         ELSE ln(own.c) - ln((SELECT count(*) FROM places)) + CASE WHEN pairs.v IS NULL THEN 0 ELSE ln(0.4) END END AS s
-  FROM pairs JOIN one AS own ON own.w = pairs.w LEFT JOIN one AS before ON before.w = pairs.v
-    LEFT JOIN two ON two.v = pairs.v AND two.w = pairs.w)
+  SELECT runs.doc_id,
+    CASE WHEN runs.u IS NOT NULL THEN three.c WHEN runs.v IS NOT NULL THEN two.c ELSE own.c END AS longest,
+    CASE WHEN runs.u IS NOT NULL THEN ln(three.c) - ln(context.c)
+         WHEN runs.v IS NOT NULL THEN ln(two.c) - ln(before.c)
+         ELSE ln(own.c) - ln((SELECT count(*) FROM places)) END AS s
+  FROM runs JOIN one AS own ON own.w = runs.w LEFT JOIN one AS before ON before.w = runs.v
+    LEFT JOIN two ON two.v = runs.v AND two.w = runs.w
+    LEFT JOIN two AS context ON context.v = runs.u AND context.w = runs.v
+    LEFT JOIN three ON three.u = runs.u AND three.v = runs.v AND three.w = runs.w)
 SELECT tokens.doc_id, CAST(len(any_value(tokens.w)) AS BIGINT) AS n_words,
-  CAST(count(*) FILTER (WHERE scored.found) AS BIGINT) AS n_found,
+  CAST(count(*) FILTER (WHERE scored.longest > 1) AS BIGINT) AS n_repeated,
   round(coalesce(sum(scored.s), 0), 3) AS log_score
 FROM tokens LEFT JOIN scored ON scored.doc_id = tokens.doc_id GROUP BY tokens.doc_id
 """
@@ -212,7 +218,7 @@ FROM tokens LEFT JOIN scored ON scored.doc_id = tokens.doc_id GROUP BY tokens.do
 @query("op6_lm_scoring")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lmscore.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return scored.select("doc_id", "n_words", "n_found", F.round("log_score", 3).alias("log_score"))
+    return scored.select("doc_id", "n_words", "n_repeated", F.round("log_score", 3).alias("log_score"))
 
 
 ORACLES["op6_lm_scoring"] = LM_ORACLE.strip()
