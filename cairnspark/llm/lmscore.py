@@ -4,6 +4,7 @@ N-grams never travel one by one. A block of documents asks for each of its disti
 sorted hashes and counts, cut into buckets of the hash. All requests of a bucket meet in one
 place, which adds up the counts (its part of the count table) and answers each block in the order
 of its request. So a very frequent n-gram is one entry for each block, however often it occurs.
+Words and pairs are asked for first; of longer n-grams only those that may occur more than once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,28 +30,20 @@ class Settings:
     backoff: float = 0.4
     #: N-grams of two words or more that the corpus has less often count as unseen; every n-gram counts by default.
     least_count: int = 1
-    block_bytes: int = 4 << 20
+    block_bytes: int = 3 << 20
     #: Entries of a bucket of the count table, about.
     bucket_entries: int = 1 << 20
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Unsigned numbers byte plane by byte plane: equal high bytes stand together and compress well."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T).tobytes()
+    """Unsigned numbers byte plane by byte plane, compressed: equal high bytes stand together."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
-
-
-def packed_sorted(hashes: np.ndarray) -> bytes:
-    """Rising numbers by their differences, whose high byte planes are mostly zero."""
-    return packed(np.diff(hashes, prepend=np.uint64(0)))
-
-
-def unpacked_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+    size, planes = np.dtype(kind).itemsize, zstandard.ZstdDecompressor().decompress(data)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
 @contextmanager
@@ -97,33 +91,57 @@ def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
-def _request(words: np.ndarray, word: np.ndarray, edges: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Sorted hashes and counts of all n-grams of a block; for each n the token's place among them (-1: none)."""
-    grams = list(_grams(words, word, edges, order))
-    hashes = np.concatenate([g[0] for g in grams])
+Request = tuple[np.ndarray, np.ndarray]
+
+
+def walk(
+    words: np.ndarray, word: np.ndarray, edges: np.ndarray, totals: list[np.ndarray], order: int
+) -> tuple[list[np.ndarray], list[np.ndarray], Request | None]:
+    """What the answers so far say of a block: for each n the corpus count of the n-gram that ends at each token, and
+    whether there is one; and the next request, sorted hashes and counts, if not all orders are answered.
+
+    The first request has all words and pairs. A longer n-gram is asked for only if the runs of n - 1 words at both of its
+    ends occur twice or more in the corpus: with either of them there once, it is there once, too.
+    """
+    grams = _grams(words, word, edges, order)
+    low = [next(grams) for _ in range(min(2, order))]
+    hashes = np.concatenate([g[0] for g in low])
     sort = np.argsort(hashes, kind="stable")
-    place = np.empty(len(sort), np.int64)
-    place[sort] = np.arange(len(sort))
-    begin = np.append(0, np.cumsum([len(g[0]) for g in grams]))
-    places = [np.where(g[1] >= 0, place[np.minimum(b + np.maximum(g[1], 0), max(0, len(place) - 1))], -1) if len(place) else g[1] for b, g in zip(begin, grams)]
-    return hashes[sort], np.concatenate([g[2] for g in grams])[sort], places
+    if not totals:
+        return [], [], (hashes[sort], np.concatenate([g[2] for g in low])[sort])
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    total[sort] = totals[0]
+    counts, exists, begin = [], [], 0
+    for codes, which, _ in low:
+        there = which >= 0
+        counts.append(np.where(there, total[begin + np.maximum(which, 0)], 0))
+        exists.append(there)
+        begin += len(codes)
+    for phase, (codes, which, count) in enumerate(grams, start=1):
+        there = which >= 0
+        before = np.append(np.uint64(0), counts[-1][:-1])
+        chosen = np.unique(which[there & (before > 1) & (counts[-1] > 1)])
+        chosen = chosen[np.argsort(codes[chosen], kind="stable")]
+        if phase == len(totals):
+            return counts, exists, (codes[chosen], count[chosen])
+        total = np.ones(len(codes) + 1, np.uint64)
+        total[chosen] = totals[phase]
+        counts.append(np.where(there, total[np.maximum(which, 0)], 0))
+        exists.append(there)
+    return counts, exists, None
 
 
 def token_logs(
-    totals: np.ndarray, places: list[np.ndarray], corpus_words: int, settings: Settings
+    count: list[np.ndarray], exists: list[np.ndarray], corpus_words: int, settings: Settings
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log of the score of each token, whether the longest n-gram that ends at it was found, and whether it is there twice."""
-    if not len(places[0]):
-        return np.zeros(0), np.zeros(0, bool), np.zeros(0, bool)
-    count = [np.where(p >= 0, totals[np.maximum(p, 0)], 0) for p in places]
-    log = np.log(count[0]) - np.log(corpus_words)
+    log = np.log(np.maximum(count[0], 1)) - np.log(max(1, corpus_words))
     top, twice = np.ones(len(log), bool), count[0] > 1
-    for n in range(1, len(places)):
-        exists = places[n] >= 0
-        found = exists & (count[n] >= settings.least_count)
-        context = np.append(1, count[n - 1][:-1])  # of the n-gram that ends one token before
-        log = np.where(found, np.log(np.maximum(count[n], 1)) - np.log(np.maximum(context, 1)), log + exists * np.log(settings.backoff))
-        top, twice = np.where(exists, found, top), np.where(exists, count[n] > 1, twice)
+    for n in range(1, len(count)):
+        found = exists[n] & (count[n] >= settings.least_count)
+        context = np.append(1, count[n - 1][:-1])[: len(log)]  # of the n-gram that ends one token before
+        log = np.where(found, np.log(np.maximum(count[n], 1)) - np.log(np.maximum(context, 1)), log + exists[n] * np.log(settings.backoff))
+        top, twice = np.where(exists[n], found, top), np.where(exists[n], count[n] > 1, twice)
     return log, top, twice
 
 
@@ -166,21 +184,28 @@ def score(documents: DataFrame, settings: Settings = Settings(), doc_id: str = "
     def held(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return unpacked(row["words"], np.uint64), unpacked(row["word"], np.uint32), unpacked(row["edges"], np.uint64).astype(np.int64)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                hashes, counts, _ = _request(*held(row), order)
-                cuts = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))
-                used = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(used.astype(np.int32)),
-                        pa.array([row["block"]] * len(used), pa.string()),
-                        pa.array([packed_sorted(hashes[cuts[b] : cuts[b + 1]]) for b in used], pa.binary()),
-                        pa.array([packed(counts[cuts[b] : cuts[b + 1]].astype(np.uint32)) for b in used], pa.binary()),
-                    ],
-                    names=["bucket", "block", "hashes", "counts"],
-                )
+    def answered(row: dict, phase: int) -> list[np.ndarray]:
+        parts = [[unpacked(x["totals"], np.uint64) for x in row[f"answers{i}"] or ()] for i in range(phase)]
+        return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in parts]
+
+    def ask(phase: int):
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    hashes, counts = walk(*held(row), answered(row, phase), order)[2]
+                    cuts = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))
+                    used = np.flatnonzero(np.diff(cuts))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(used.astype(np.int32)),
+                            pa.array([row["block"]] * len(used), pa.string()),
+                            pa.array([packed(hashes[cuts[b] : cuts[b + 1]]) for b in used], pa.binary()),
+                            pa.array([packed(counts[cuts[b] : cuts[b + 1]].astype(np.uint32)) for b in used], pa.binary()),
+                        ],
+                        names=["bucket", "block", "hashes", "counts"],
+                    )
+
+        return asked
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come bucket by bucket."""
@@ -194,21 +219,26 @@ def score(documents: DataFrame, settings: Settings = Settings(), doc_id: str = "
         if rows:
             yield _answers(rows)
 
-    asked = blocks.where("n > 0").select("block", "words", "word", "edges").mapInArrow(ask, "bucket int, block string, hashes binary, counts binary")
-    dealt = asked.repartition(int(min(buckets, 10_000)), "bucket").sortWithinPartitions("bucket")
-    answers = dealt.mapInArrow(answer, "bucket int, block string, totals binary")
-    # The answers to one block have one entry for each of its n-grams.
-    told = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "totals"))).alias("answers"))
-    with shuffles_released(spark):  # the requests take most of the disk, and are not needed any more
-        told = materialise(told, "answers")
+    known = blocks.select("block", "n", "doc_ids", "words", "word", "edges")
+    phases = 1 + max(0, order - 2)
+    for phase in range(phases):
+        rows = known.where("n > 0").drop("n", "doc_ids")
+        asked = rows.mapInArrow(ask(phase), "bucket int, block string, hashes binary, counts binary")
+        dealt = asked.repartition(int(min(buckets, 10_000)), "bucket").sortWithinPartitions("bucket")
+        answers = dealt.mapInArrow(answer, "bucket int, block string, totals binary")
+        # The answers to one block have one entry for each of the n-grams it has asked for.
+        told = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "totals"))).alias(f"answers{phase}"))
+        with shuffles_released(spark):  # the requests take most of the disk, and are not needed any more
+            told = materialise(told, "answers")
+        known = known.join(told, "block", "left")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 words, word, edges = held(row)
-                totals = [unpacked(x["totals"], np.uint64) for x in row["answers"] or ()]
-                _, _, places = _request(words, word, edges, order)
-                log, found, twice = token_logs(np.concatenate(totals) if totals else np.zeros(0, np.uint64), places, corpus_words, settings)
+                totals = answered(row, phases)
+                count, exists, _ = walk(words, word, edges, totals, order)
+                log, found, twice = token_logs(count, exists, corpus_words, settings)
                 owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -221,14 +251,14 @@ def score(documents: DataFrame, settings: Settings = Settings(), doc_id: str = "
                     names=["doc_id", "n_words", "n_found", "n_repeated", "log_score"],
                 )
 
-    return blocks.join(told, "block", "left").select("doc_ids", "words", "word", "edges", "answers").mapInArrow(
+    return known.drop("block", "n").mapInArrow(
         add_up, f"doc_id {id_type}, n_words long, n_found long, n_repeated long, log_score double"
     )
 
 
 def _answers(rows: list[dict]) -> pa.RecordBatch:
     """Total count of each n-gram of a bucket, for each request in its own order."""
-    hashes = [unpacked_sorted(r["hashes"]) for r in rows]
+    hashes = [unpacked(r["hashes"], np.uint64) for r in rows]
     every = np.concatenate(hashes)
     sort = np.argsort(every, kind="stable")
     first = np.append(True, every[sort][1:] != every[sort][:-1])

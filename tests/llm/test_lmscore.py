@@ -2,7 +2,6 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
 
 from cairnspark.llm import lmscore
@@ -48,6 +47,3 @@ def test_no_rows(spark):
 
 def test_settings_cut_nothing():
     assert lmscore.Settings().order >= 3 and lmscore.Settings().least_count == 1
-    hashes = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
-    assert (lmscore.unpacked_sorted(lmscore.packed_sorted(hashes)) == hashes).all()
-    assert len(lmscore.unpacked_sorted(lmscore.packed_sorted(hashes[:0]))) == 0
