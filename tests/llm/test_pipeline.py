@@ -57,3 +57,16 @@ def test_nothing_else_imports_the_folder():
     for path in root.rglob("*.py"):
         if "llm" not in path.parts:
             assert "llm" not in path.read_text(), path
+
+
+def test_stages_take_null_texts_and_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    odd = spark.createDataFrame([(900001, None, None, None, None), (900002, "", "en", "s", 0)], docs.schema)
+    held = docs.unionByName(odd)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.where("false"), SF)
+        assert none.count() == 0, name
+        rows = stage(spark, held, SF)
+        assert rows.columns == none.columns and rows.count() <= held.count(), name
+        if name in ("benchmark_decontamination", "pii_redaction", "sentencepiece"):  # they drop no text for being empty
+            assert rows.where("doc_id > 900000").count() == 2, name
