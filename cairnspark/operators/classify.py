@@ -68,19 +68,45 @@ def _estimator(kind: str, label: str, params: Mapping[str, Any], n_features: int
     return _ESTIMATORS[kind](featuresCol="features", labelCol=label, **settings)
 
 
+class Prepared(NamedTuple):
+    rows: DataFrame  # features, label: a table in shared storage
+    inputs: list[str]
+    label: str
+
+
+def prepare(train: DataFrame, label: str = "label", inputs: Sequence[str] | None = None, path: str | None = None) -> Prepared:
+    """The training rows as vectors, assembled and written once, for any number of fits.
+
+    Every fit reads its input at least twice (statistics first, then its own blocks of rows), and each time
+    would put the vectors together again. Further columns of ``train`` are left out. The table stays until
+    ``sources.release``, or until the end of the ``scratch`` block around the call.
+    """
+    inputs = list(inputs or feature_columns(train, label))
+    rows = assemble(train.select(*inputs, label), inputs)
+    return Prepared(materialise(rows, "assembled", path=path), inputs, label)
+
+
 def fit(
     kind: str,
-    train: DataFrame,
+    train: DataFrame | Prepared,
     params: Mapping[str, Any] | None = None,
     label: str = "label",
     inputs: Sequence[str] | None = None,
 ) -> PipelineModel:
     """Fit ``rf``, ``lr`` or ``mlp`` as a pipeline that starts at the raw columns.
 
+    ``train`` is a table, or the ``prepare``-d form of one, which knows its label and inputs. The model
+    takes raw columns in both cases.
+
     The forest keeps node ids with the rows and cuts their lineage by checkpoints, so a deep forest
     does not ship its trees with every task. Each estimator holds its own form of the input
     in memory and disk while it iterates.
     """
+    if isinstance(train, Prepared):
+        ensure_checkpoint_dir(train.rows.sparkSession)
+        assembler = VectorAssembler(inputCols=train.inputs, outputCol="features")
+        estimator = _estimator(kind, train.label, params or {}, len(train.inputs))
+        return PipelineModel(stages=[assembler, estimator.fit(train.rows)])
     ensure_checkpoint_dir(train.sparkSession)
     inputs = list(inputs or feature_columns(train, label))
     stages = [
@@ -187,13 +213,13 @@ def cv_tune(
 
 def refit(
     kind: str,
-    train: DataFrame,
+    train: DataFrame | Prepared,
     tuned: Tuned,
     params: Mapping[str, Any] | None = None,
     label: str = "label",
     inputs: Sequence[str] | None = None,
 ) -> PipelineModel:
-    """Fit the winner of a tuning on the full training rows."""
+    """Fit the winner of a tuning on the full training rows (``prepare`` them if several kinds are refitted)."""
     return fit(kind, train, {**(params or {}), **tuned.params}, label, inputs)
 
 

@@ -67,13 +67,18 @@ def tuned(spark: SparkSession, sf_dir: str, kind: str) -> classify.Tuned:
     )
 
 
+def prepared(spark: SparkSession, sf_dir: str) -> classify.Prepared:
+    """The training part as vectors, stored once for the refits of all kinds."""
+    return once(spark, sf_dir, "wide-prepared", lambda: classify.prepare(train(spark, sf_dir), inputs=INPUTS))
+
+
 def refitted(spark: SparkSession, sf_dir: str, kind: str):
     """The winner of the tuning, fitted on the whole training part."""
     return once(
         spark,
         sf_dir,
         f"refit-{kind}",
-        lambda: classify.refit(kind, train(spark, sf_dir), tuned(spark, sf_dir, kind), inputs=INPUTS),
+        lambda: classify.refit(kind, prepared(spark, sf_dir), tuned(spark, sf_dir, kind)),
     )
 
 

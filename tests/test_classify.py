@@ -55,6 +55,34 @@ def test_models_beat_the_majority_class(parts, kind, params):
 def test_unknown_kind(parts):
     with pytest.raises(ValueError):
         classify.fit("svm", parts[0])
+    with pytest.raises(ValueError):
+        classify.fit("svm", classify.prepare(parts[0]))
+
+
+def test_prepared_rows_give_the_same_models(spark, parts, tmp_path):
+    train, test = parts
+    ready = classify.prepare(train.withColumn("features", F.lit("not the vector")), path=str(tmp_path / "ready"))
+    assert ready.rows.columns == ["label", "features"] and ready.rows.count() == train.count()
+    assert ready.inputs == classify.feature_columns(train, "label")
+
+    def scores(kind, rows, **params):
+        found = classify.score(classify.fit(kind, rows, params), test)
+        assert found.columns == [*test.columns, "prediction", "score"]
+        return {r["vec_id"]: r["score"] for r in found.collect()}
+
+    for kind, params in (("lr", {"maxIter": 5}), ("mlp", {"maxIter": 20, "layers": [6, 5, 2]})):
+        plain, stored = scores(kind, train, **params), scores(kind, ready, **params)
+        assert stored == pytest.approx(plain, rel=1e-6, abs=1e-6)
+    # The forest draws its rows by partition, so only its quality is comparable.
+    forest = classify.score(classify.fit("rf", ready, {"maxDepth": 5}), test)
+    assert metrics.accuracy(forest).first()["accuracy"] > 0.8
+
+
+def test_refit_takes_prepared_rows(parts):
+    train, test = parts
+    tuned = classify.cv_tune("lr", train, {"regParam": [0.01, 10.0]}, folds=2, fold_keys=["vec_id"])
+    plain, stored = (classify.refit("lr", rows, tuned).stages[-1].coefficients for rows in (train, classify.prepare(train)))
+    assert list(stored) == pytest.approx(list(plain), rel=1e-6, abs=1e-9)
 
 
 def test_tune_and_refit(parts):
