@@ -150,6 +150,31 @@ def assemble_features(spark, sf_dir):
     )
 
 
+_TOTAL = " + ".join(INPUTS)
+
+
+@query(
+    "assemble_stored",
+    sql(
+        f"""SELECT {LABEL} AS label, count(*) AS n_rows, CAST({N_FEATURES} AS INTEGER) AS n_features,
+              round(sum({_TOTAL}), 3) AS total FROM v_wide GROUP BY 1""",
+        "v_wide",
+    ),
+)
+def assemble_stored(spark, sf_dir):
+    """The assembled rows as they are stored for several fits, summed up by label."""
+    ready = classify.prepare(views.wide(spark, sf_dir), label=LABEL, inputs=INPUTS)
+    values = vector_to_array("features")
+    rows = ready.rows.select(
+        F.col(LABEL).alias("label"),
+        F.size(values).alias("n_features"),
+        F.aggregate(values, F.lit(0.0), lambda a, x: a + x).alias("total"),
+    )
+    return rows.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max("n_features").alias("n_features"), F.round(F.sum("total"), 3).alias("total")
+    )
+
+
 # Samples and balance
 
 
