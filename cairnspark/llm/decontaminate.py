@@ -269,7 +269,11 @@ def _filter(item_seeds: DataFrame, bits: int) -> np.ndarray:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``documents`` that overlap with no item; all columns pass unchanged."""
-    dirty = overlaps(documents, benchmark, settings, doc_id, text).select(F.col("content").alias("__content")).distinct()
-    digest = F.md5(F.coalesce(F.col(text), F.lit("")))
-    return documents.join(dirty, digest == F.col("__content"), "left_anti")
+    """The rows of ``documents`` that overlap with no item; all columns pass unchanged, whatever their names.
+
+    A null text counts as empty and has no words, so its row stays. Repeated rows stay or go together,
+    and so do rows of equal text under different ids. Without items all rows stay; no rows in, no rows out.
+    """
+    dirty = overlaps(documents, benchmark, settings, doc_id, text).select("content").distinct()
+    digest = F.md5(F.coalesce(documents[text], F.lit("")))
+    return documents.join(dirty, digest == dirty["content"], "left_anti")

@@ -398,7 +398,10 @@ def token_digests(documents: DataFrame, path: str, text: str = "text", to: str =
 
 
 def encode_ids(documents: DataFrame, path: str, text: str = "text", to: str = "ids") -> DataFrame:
-    """The rows with an array of token ids (empty for a null or empty text)."""
+    """The rows with an array ``to`` of token ids, empty for a null or empty text.
+
+    A column named ``to`` is replaced, other columns pass unchanged. No rows in, no rows out.
+    """
     bounded_batches(documents.sparkSession)
 
     @F.arrow_udf("array<int>")
@@ -411,7 +414,10 @@ def encode_ids(documents: DataFrame, path: str, text: str = "text", to: str = "i
 
 
 def decode_ids(documents: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """The rows with the text that an array of ids stands for; a null array is an empty one."""
+    """The rows with the text ``to`` that an array of ids stands for; a null array is an empty one.
+
+    A column named ``to`` is replaced, other columns pass unchanged. No rows in, no rows out.
+    """
 
     @F.arrow_udf("string")
     def texts(column: pa.Array) -> pa.Array:

@@ -118,3 +118,15 @@ def test_finds_short_items_wherever_a_word_is_substituted(spark):
             longest = every_stretch([i != k for i in range(n)], min(13, n))
             want[100 * n + k, n] = longest
     assert {(r.doc_id, r.item_id): r.n_equal for r in rows} == want
+
+
+def test_clean_keeps_nulls_and_clashing_columns(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = [(1, passage), (1, passage), (2, passage), (3, None), (None, "quite another text"), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as content", "'y' as __content", "7 as item_id")
+    items = spark.createDataFrame([(1, passage), (2, None), (3, "")], "item_id long, text string")
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.content, r["__content"]) for r in kept.collect()) == [(0, "x", "y"), (3, "x", "y"), (4, "x", "y")]
+    assert decontaminate.clean(docs, items.where("false")).count() == len(rows)
+    assert decontaminate.clean(docs.where("false"), items).collect() == []

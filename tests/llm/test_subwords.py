@@ -62,3 +62,14 @@ def test_operator(spark, library):
     back = subwords.decode_ids(subwords.encode_ids(docs, PATH), PATH).collect()
     assert [r.decoded for r in back] == [library.decode(library.encode(r.text or "")) for r in back]
     assert subwords.token_digests(docs.where("false"), PATH).collect() == []
+
+
+def test_clashing_names_and_null_ids(spark, library):
+    text = "A river of words"
+    docs = spark.createDataFrame([(1, text, "x", "y"), (2, None, "x", "y")], "doc_id long, text string, ids string, decoded string")
+    coded = subwords.encode_ids(docs, PATH)
+    assert coded.columns == docs.columns
+    assert [r.ids for r in coded.orderBy("doc_id").collect()] == [library.encode(text), []]
+    back = subwords.decode_ids(coded.selectExpr("doc_id", "if(doc_id = 1, ids, null) as ids", "decoded"), PATH)
+    assert [tuple(r)[2] for r in back.orderBy("doc_id").collect()] == [text, ""]
+    assert subwords.decode_ids(coded.where("false"), PATH).collect() == []
