@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from cairnspark.operators import recommend, splits
 from cairnspark.operators.metrics import rmse
 from cairnspark.sources import materialise
+from cairnspark.sources.tables import release_unused
 
 USERS, ITEMS = 60, 40
 
@@ -136,3 +138,37 @@ def test_a_user_with_most_rows_is_split_in_the_semi_join(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_fit_sends_factors_to_few_item_blocks(spark, monkeypatch):
+    """The same fit as with as many item blocks as user blocks, with less sent and stored every other iteration."""
+    seen = []
+
+    class Spy(recommend.ALS):
+        def fit(self, *args):
+            seen.append((self.getNumUserBlocks(), self.getNumItemBlocks(), self.getCheckpointInterval()))
+            return super().fit(*args)
+
+    monkeypatch.setattr(recommend, "ALS", Spy)
+    rows = [(u, i, float((u * 7 + i * 3) % 10) / 2 + 0.5) for u in range(40) for i in range(30) if (u + i) % 3]
+    rated = spark.createDataFrame(rows, "user_id int, item_id int, rating double")
+    few, _ = recommend.als_predict(rated, rated, rank=3, max_iter=5)
+    many, _ = recommend.als_predict(rated, rated, rank=3, max_iter=5, blocks=10)
+    assert seen == [(10, 4, 2), (10, 10, 2)]
+    for side in ("userFactors", "itemFactors"):
+        a, b = ({r["id"]: r["features"] for r in getattr(m, side).collect()} for m in (few, many))
+        assert a.keys() == b.keys()
+        assert all(x == pytest.approx(y, rel=1e-4, abs=1e-5) for key in a for x, y in zip(a[key], b[key]))
+
+
+def test_cross_validation_drops_what_its_fits_hold(spark, folded):
+    """What a fit holds in memory and on disk goes when its tables are written, but for the last fit of each thread."""
+    held = spark.sparkContext._jsc.getPersistentRDDs
+    release_unused(spark)
+    time.sleep(2)
+    before = set(held().keys())
+    recommend.als_cv(folded, {"a": {"rank": 2, "reg": 0.1}}, max_iter=3, parallelism=2)
+    until = time.monotonic() + 20
+    while len(set(held().keys()) - before) > 4 and time.monotonic() < until:
+        time.sleep(0.2)
+    assert len(set(held().keys()) - before) <= 4  # factors of users and items, where five fits have ten tables
