@@ -172,3 +172,25 @@ def test_cross_validation_drops_what_its_fits_hold(spark, folded):
     while len(set(held().keys()) - before) > 4 and time.monotonic() < until:
         time.sleep(0.2)
     assert len(set(held().keys()) - before) <= 4  # factors of users and items, where five fits have ten tables
+
+
+def _blocks_seen(monkeypatch) -> list[tuple[int, int]]:
+    seen = []
+
+    class Spy(recommend.ALS):
+        def fit(self, *args):
+            seen.append((self.getNumUserBlocks(), self.getNumItemBlocks()))
+            return super().fit(*args)
+
+    monkeypatch.setattr(recommend, "ALS", Spy)
+    return seen
+
+
+def test_folds_are_fitted_in_few_blocks(spark, folded, monkeypatch):
+    """Ten user blocks for each of several fits at a time send an item's factors up to ten times in every iteration."""
+    seen = _blocks_seen(monkeypatch)
+    recommend.als_cv(folded, {"a": {"rank": 2, "reg": 0.1}}, max_iter=1, parallelism=4)
+    assert seen == [(4, 4)] * 5
+    seen.clear()
+    recommend.als_cv(folded, {"a": {"rank": 2, "reg": 0.1}}, k=1, max_iter=1, blocks=3)
+    assert seen == [(3, 3)]
