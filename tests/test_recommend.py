@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cairnspark.operators import recommend, splits
 from cairnspark.operators.metrics import rmse
+from cairnspark.plans import ratings
 from cairnspark.sources import materialise
 from cairnspark.sources.tables import release_unused
 
@@ -194,3 +195,20 @@ def test_folds_are_fitted_in_few_blocks(spark, folded, monkeypatch):
     seen.clear()
     recommend.als_cv(folded, {"a": {"rank": 2, "reg": 0.1}}, k=1, max_iter=1, blocks=3)
     assert seen == [(3, 3)]
+
+
+def test_holdout_fit_has_blocks_for_half_of_the_tasks(spark, tmp_path, monkeypatch):
+    orders = spark.range(1, 41).select(F.col("id").alias("o_orderkey"), (F.col("id") % 8).alias("o_custkey"))
+    lines = spark.range(400).select(
+        (F.col("id") % 40 + 1).alias("l_orderkey"),
+        (F.col("id") * 7 % 30).alias("l_partkey"),
+        (F.col("id") % 50 + 1).cast("double").alias("l_quantity"),
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen = _blocks_seen(monkeypatch)
+    rated = ratings.als_predict(spark, str(tmp_path))
+    assert seen == [(4, 4)] and rated.count() > 0
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 12)
+    assert recommend.few_blocks(spark, 2) == {"blocks": 6, "item_blocks": 4}
+    assert recommend.few_blocks(spark, 4) == {"blocks": 4, "item_blocks": 4}
