@@ -187,9 +187,10 @@ def _blocks_seen(monkeypatch) -> list[tuple[int, int]]:
     return seen
 
 
-def test_folds_are_fitted_in_few_blocks(spark, folded, monkeypatch):
+def test_folds_of_many_ratings_are_fitted_in_few_blocks(spark, folded, monkeypatch):
     """Ten user blocks for each of several fits at a time send an item's factors up to ten times in every iteration."""
     seen = _blocks_seen(monkeypatch)
+    monkeypatch.setattr(recommend, "MANY_RATINGS", 1)
     recommend.als_cv(folded, {"a": {"rank": 2, "reg": 0.1}}, max_iter=1, parallelism=4)
     assert seen == [(4, 4)] * 5
     seen.clear()
@@ -197,7 +198,7 @@ def test_folds_are_fitted_in_few_blocks(spark, folded, monkeypatch):
     assert seen == [(3, 3)]
 
 
-def test_holdout_fit_has_blocks_for_half_of_the_tasks(spark, tmp_path, monkeypatch):
+def test_holdout_fit_of_many_ratings_has_few_blocks(spark, tmp_path, monkeypatch):
     orders = spark.range(1, 41).select(F.col("id").alias("o_orderkey"), (F.col("id") % 8).alias("o_custkey"))
     lines = spark.range(400).select(
         (F.col("id") % 40 + 1).alias("l_orderkey"),
@@ -207,8 +208,17 @@ def test_holdout_fit_has_blocks_for_half_of_the_tasks(spark, tmp_path, monkeypat
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     lines.write.parquet(f"{tmp_path}/lineitem.parquet")
     seen = _blocks_seen(monkeypatch)
-    rated = ratings.als_predict(spark, str(tmp_path))
-    assert seen == [(4, 4)] and rated.count() > 0
+    monkeypatch.setattr(recommend, "MANY_RATINGS", 1)
+    assert ratings.als_predict(spark, str(tmp_path)).count() > 0
+    assert seen == [(4, 4)]
+
+
+def test_blocks_follow_tasks_and_ratings(spark, monkeypatch):
+    """Fits of fewer ratings keep the blocks, and with them the starts, that they always had."""
+    few = spark.range(10)
+    assert recommend.fit_blocks(few) == recommend.fit_blocks(few, 4) == {"blocks": 10, "item_blocks": 4}
     monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 12)
-    assert recommend.few_blocks(spark, 2) == {"blocks": 6, "item_blocks": 4}
-    assert recommend.few_blocks(spark, 4) == {"blocks": 4, "item_blocks": 4}
+    assert recommend.fit_blocks(few) == {"blocks": 12, "item_blocks": 4}
+    many = spark.range(recommend.MANY_RATINGS)
+    assert recommend.fit_blocks(many) == {"blocks": 6, "item_blocks": 4}
+    assert recommend.fit_blocks(many, 4) == {"blocks": 4, "item_blocks": 4}
