@@ -1,5 +1,6 @@
 import math
 import random
+import threading
 import time
 from collections import Counter, defaultdict
 
@@ -222,3 +223,58 @@ def test_blocks_follow_tasks_and_ratings(spark, monkeypatch):
     many = spark.range(recommend.MANY_RATINGS)
     assert recommend.fit_blocks(many) == {"blocks": 6, "item_blocks": 4}
     assert recommend.fit_blocks(many, 4) == {"blocks": 4, "item_blocks": 4}
+
+
+def test_fits_on_many_ratings_wait_for_tasks(spark, folded, monkeypatch):
+    """Every fit at work holds shuffle files: four of four blocks each are two too many for eight tasks."""
+    lock, at_work, most, events = threading.Lock(), [0], [0], []
+
+    class Spy(recommend.ALS):
+        def fit(self, *args):
+            with lock:
+                at_work[0] += 1
+                most[0] = max(most[0], at_work[0])
+                events.append("fit")
+            try:
+                time.sleep(0.5)
+                return super().fit(*args)
+            finally:
+                with lock:
+                    at_work[0] -= 1
+
+    monkeypatch.setattr(recommend, "ALS", Spy)
+    monkeypatch.setattr(recommend, "release_unused", lambda spark: events.append("release"))
+    monkeypatch.setattr(recommend, "MANY_RATINGS", 1)
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 8)
+    cv = recommend.als_cv(folded, {"a": {"rank": 2, "reg": 0.1}}, max_iter=1, parallelism=4)
+    assert most[0] == 2 and events.count("fit") == 5
+    assert events[0] == "release"  # the files left by the table of folds go before the first fit
+    assert cv.predictions.select("fold").distinct().count() == 5
+
+
+def test_fits_at_work_follow_tasks_and_ratings(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 12)
+    assert recommend.fits_at_work(spark.range(10), 4) == 4
+    many = spark.range(recommend.MANY_RATINGS)
+    assert [recommend.fits_at_work(many, n) for n in (1, 2, 4)] == [1, 2, 3]
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 2)
+    assert recommend.fits_at_work(many, 4) == 1
+
+
+def test_stored_folds_are_sorted_by_user(spark, tmp_path):
+    """So the blocks of a fit hold runs of one user, which compress better on the way."""
+    orders = spark.range(400).select(F.col("id").alias("o_orderkey"), (F.col("id") * 37 % 101).alias("o_custkey"))
+    lines = spark.range(3000).select(
+        (F.col("id") * 11 % 400).alias("l_orderkey"),
+        (F.col("id") * 7 % 53).alias("l_partkey"),
+        (F.col("id") % 50 + 1).cast("double").alias("l_quantity"),
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    stored = ratings.stored_folds(spark, str(tmp_path))
+    assert sorted(stored.collect()) == sorted(ratings.folded(spark, str(tmp_path)).collect())
+    files = stored.inputFiles()
+    assert len(files) >= ratings.K
+    for path in files:
+        keys = [(r["user_id"], r["item_id"]) for r in spark.read.parquet(path).collect()]
+        assert keys == sorted(keys) and len(keys) > 1
