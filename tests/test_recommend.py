@@ -278,3 +278,73 @@ def test_stored_folds_are_sorted_by_user(spark, tmp_path):
     for path in files:
         keys = [(r["user_id"], r["item_id"]) for r in spark.read.parquet(path).collect()]
         assert keys == sorted(keys) and len(keys) > 1
+
+
+def test_a_stored_fit_is_scored_without_its_files(spark, folded, monkeypatch):
+    """Else the files of its blocks and last factors are on disk together with those of the joins that score."""
+    held = spark.sparkContext._jsc.getPersistentRDDs
+    release_unused(spark)
+    time.sleep(2)
+    before, left, written = set(held().keys()), [], recommend.write_parquet
+
+    def write(df, path, *args, **kwargs):
+        if "fold-predictions" in path:
+            until = time.monotonic() + 10
+            while set(held().keys()) - before and time.monotonic() < until:
+                time.sleep(0.2)
+            left.append(len(set(held().keys()) - before))
+        written(df, path, *args, **kwargs)
+
+    monkeypatch.setattr(recommend, "write_parquet", write)
+    monkeypatch.setattr(recommend, "MANY_RATINGS", 1)
+    recommend.als_cv(folded, {"a": {"rank": 2, "reg": 0.1}}, k=2, max_iter=2, parallelism=1)
+    assert left == [0, 0]
+
+
+def test_a_stored_fit_gives_the_same_scores(spark, folded, tmp_path):
+    train, test = folded.where("fold > 0"), folded.where("fold = 0")
+    keys = ["user_id", "item_id", "prediction"]
+    rows = [
+        {(r[0], r[1]): r[2] for r in recommend.als_predict(train, test, rank=3, blocks=2, **how)[1].select(*keys).collect()}
+        for how in ({}, {"store": f"{tmp_path}/model", "checkpoint": 1})
+    ]
+    assert rows[0].keys() == rows[1].keys() and len(rows[0]) > 50
+    assert all(rows[1][key] == pytest.approx(value, rel=1e-4) for key, value in rows[0].items())
+
+
+def test_models_of_the_folds_are_deleted(spark, folded, tmp_path, monkeypatch):
+    paths = []
+
+    def fresh(spark, name):
+        paths.append(tmp_path / name)
+        return str(paths[-1])
+
+    monkeypatch.setattr(recommend, "fresh_path", fresh)
+    monkeypatch.setattr(recommend, "MANY_RATINGS", 1)
+    recommend.als_cv(folded, {"a": {"rank": 2, "reg": 0.1}}, k=2, max_iter=1)
+    assert sorted(p.name for p in paths if p.exists()) == ["fold-item-factors", "fold-predictions"]
+
+
+@pytest.mark.parametrize("many,expected", [(1, (2, {1})), (10**9, (4, {2}))])
+def test_fits_on_many_ratings_hold_no_more_on_more_tasks(spark, folded, monkeypatch, many, expected):
+    """Two at a time however many tasks there are, and sent factors on disk for one iteration, not two."""
+    lock, at_work, most, seen = threading.Lock(), [0], [0], set()
+
+    class Spy(recommend.ALS):
+        def fit(self, *args):
+            with lock:
+                at_work[0] += 1
+                most[0] = max(most[0], at_work[0])
+                seen.add(self.getCheckpointInterval())
+            try:
+                time.sleep(1)
+                return super().fit(*args)
+            finally:
+                with lock:
+                    at_work[0] -= 1
+
+    monkeypatch.setattr(recommend, "ALS", Spy)
+    monkeypatch.setattr(recommend, "MANY_RATINGS", many)
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 16)
+    recommend.als_cv(folded, {"a": {"rank": 2, "reg": 0.1}}, max_iter=1, parallelism=4, blocks=2)
+    assert (most[0], seen) == expected
