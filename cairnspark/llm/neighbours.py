@@ -350,9 +350,10 @@ def nearest(
     )
     asked_leaves = visits.join(heavy, "slot", "left").select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     block = F.pmod("row", F.lit(n_blocks)).cast("int").alias("block")
-    # Of a query, only what it has found in a block goes there, with its vector once.
+    # Of a query, only what it has found in a block goes there, with its vector once. Spark takes the visits for no more
+    # than the queries that they are made of, thousands to one; without the hint it sends them all through the driver.
     found = (
-        asked_leaves.join(leaves, ["slot", "part"])
+        asked_leaves.join(leaves.hint("merge"), ["slot", "part"])
         .groupBy("query", "piece")
         .agg(F.collect_list("leaf").alias("lists"))
         .mapInArrow(by_block, "block int, query long, rows array<long>")

@@ -88,6 +88,13 @@ def test_recall_and_rows_compared_in_many_dimensions(spark):
     assert sum(compared.values()) < 0.3 * 160 * 8000
 
 
+def test_visits_do_not_go_through_the_driver(spark):
+    """A query makes thousands of visits, which Spark's estimate does not know; broadcast, they fill the driver's memory."""
+    found = neighbours.nearest(frame(spark, vectors(np.random.default_rng(6), 400)), neighbours.Settings(trees=4))
+    joins = [line for line in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join [slot#" in line and "part#" in line]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+
+
 def test_leaves_hold_equal_shares():
     rng = np.random.default_rng(1)
     sample = rng.standard_normal((4096, 8))
