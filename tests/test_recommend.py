@@ -348,3 +348,42 @@ def test_fits_on_many_ratings_hold_no_more_on_more_tasks(spark, folded, monkeypa
     monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 16)
     recommend.als_cv(folded, {"a": {"rank": 2, "reg": 0.1}}, max_iter=1, parallelism=4, blocks=2)
     assert (most[0], seen) == expected
+
+
+def test_blocks_of_a_cross_validation_follow_the_ratings(spark, monkeypatch):
+    """A task's memory is that of one block, so a block holds no more on larger tables."""
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 12)
+    monkeypatch.setattr(recommend, "MANY_RATINGS", 1)
+    monkeypatch.setattr(recommend, "BLOCK_RATINGS", 100)
+    assert recommend.bounded_blocks(spark.range(400), 4) == recommend.fit_blocks(spark.range(400), 4)
+    assert recommend.bounded_blocks(spark.range(4001), 4) == {"blocks": 41, "item_blocks": 41, "hold": "DISK_ONLY"}
+    # More user blocks than needed stay as they are.
+    assert recommend.bounded_blocks(spark.range(500), 1) == {"blocks": 6, "item_blocks": 5, "hold": "DISK_ONLY"}
+
+
+@pytest.mark.parametrize("share,expected", [(6, (1, {(6, 6, "DISK_ONLY")})), (1, (2, {(4, 4, "MEMORY_AND_DISK")}))])
+def test_fits_of_bounded_blocks_run_one_at_a_time(spark, folded, monkeypatch, share, expected):
+    """As many blocks as the session has tasks leave nothing to a second fit but the disk it holds."""
+    lock, at_work, most, seen = threading.Lock(), [0], [0], set()
+
+    class Spy(recommend.ALS):
+        def fit(self, *args):
+            with lock:
+                at_work[0] += 1
+                most[0] = max(most[0], at_work[0])
+                seen.add((self.getNumUserBlocks(), self.getNumItemBlocks(), self.getIntermediateStorageLevel()))
+            try:
+                time.sleep(0.5)
+                return super().fit(*args)
+            finally:
+                with lock:
+                    at_work[0] -= 1
+
+    monkeypatch.setattr(recommend, "ALS", Spy)
+    monkeypatch.setattr(recommend, "MANY_RATINGS", 1)
+    monkeypatch.setattr(recommend, "BLOCK_RATINGS", -(-folded.count() // share))
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 8)
+    cv = recommend.als_cv(folded, {"a": {"rank": 2, "reg": 0.1}}, max_iter=1, parallelism=4)
+    assert (most[0], seen) == expected
+    n_test = {r["fold"]: r["n_test"] for r in recommend.cv_report(cv.predictions, folded).collect()}
+    assert n_test == {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
